@@ -114,7 +114,7 @@ def grid_results(search: CrossValidatorModel) -> list[dict[str, float]]:
     """One entry per grid setting: its parameters, mean rmse, and whether it won."""
     results = []
     for params, metric in zip(search.getEstimatorParamMaps(), search.avgMetrics):
-        results.append({**{p.name: v for p, v in params.items()}, "rmse": metric})
+        results.append({**{p.name: v for p, v in params.items()}, "rmse": float(metric)})
     best = min(range(len(results)), key=lambda i: results[i]["rmse"])
     return [{**r, "best": i == best} for i, r in enumerate(results)]
 

@@ -62,9 +62,11 @@ def flatten(documents: DataFrame, key: str = "alias", array: str = "followers")
     """
     numbers = dense_ids(documents.select(key), key, "artist_num")
     first = F.coalesce("first_follower_num", F.lit(1)) if "first_follower_num" in documents.columns else F.lit(1)
-    elements = documents.select(key, first.alias("_first"), F.posexplode(array).alias("_pos", "_row"))
-    return elements.join(numbers, key).select(
-        key, "artist_num", (F.col("_first") + F.col("_pos")).cast("bigint").alias("artist_follower_num"), "_row.*"
+    # Numbers are joined to whole documents, so no exploded row is shuffled.
+    return (
+        documents.join(numbers, key)
+        .select(key, "artist_num", first.alias("_first"), F.posexplode(array).alias("_pos", "_row"))
+        .select(key, "artist_num", (F.col("_first") + F.col("_pos")).cast("bigint").alias("artist_follower_num"), "_row.*")
     )
 
 
