@@ -10,12 +10,12 @@ def parse_features(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-def norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+def is_complete(vector: Column) -> Column:
+    """False for NULL and empty vectors and for NULL or NaN elements."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    return F.coalesce(~bad & (F.size(vector) > 0), F.lit(False))
 
 
-def is_usable(vector: Column) -> Column:
-    """False for NULL, empty and all-zero vectors and for NULL or NaN elements: no cosine exists."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    some = F.exists(vector, lambda x: x != 0)
-    return F.coalesce(~bad & some, F.lit(False))
+def has_cosine(vector: Column) -> Column:
+    """True for complete vectors that are not all zero."""
+    return is_complete(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))

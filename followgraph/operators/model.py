@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from followgraph import fixed
+from followgraph.operators.tiles import best_products
 from followgraph.session import work_folder
 
 _EDGES_PER_BLOCK = 5_000_000
@@ -64,13 +65,17 @@ def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
 
 
 def recommend_artists(model: ALSModel, n: int, followers: DataFrame | None = None) -> DataFrame:
-    """(follower_id, rank, artist_id, prediction): the ``n`` highest predictions per follower."""
-    found = model.recommendForAllUsers(n) if followers is None else model.recommendForUserSubset(followers, n)
-    return found.select("follower_id", F.posexplode("recommendations").alias("pos", "found")).select(
-        "follower_id",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("found.artist_id").alias("artist_id"),
-        F.col("found.rating").alias("prediction"),
+    """(follower_id, rank, artist_id, prediction): the ``n`` highest predictions per follower, or per
+    follower of the given ``follower_id`` table; equal predictions are ordered by artist.
+    """
+    users = model.userFactors
+    if followers is not None:
+        users = users.join(followers.select(F.col("follower_id").alias("id")).distinct(), "id", "left_semi")
+    return best_products(users, model.itemFactors, n).select(
+        F.col("row_id").cast("int").alias("follower_id"),
+        "rank",
+        F.col("column_id").cast("int").alias("artist_id"),
+        F.col("score").alias("prediction"),
     )
 
 

@@ -38,7 +38,10 @@ def same_kind(a, b) -> bool:
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    got = ordered(entry.queries()[name](spark, SF_DIR).toPandas())
+    result = entry.queries()[name](spark, SF_DIR)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = ordered(result.toPandas())
     want = ordered(duck.execute(entry.oracle_sql()[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
