@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from followgraph import fixed
-from followgraph.functions import links, names, vectors
+from followgraph.functions import links, names
 from followgraph.operators import activity, edges as E, evaluation, lookup, model, nesting, numbering, overlap
 from followgraph.operators import roster as R, similarity
-from followgraph.plans import stand_ins as S, training
+from followgraph.plans import stand_ins as S, training, views
 from followgraph.plans.roster_build import harvest_list as build_harvest_list
 from followgraph.session import new_path, written
-from followgraph.sources import delimited, documents as D, pages as P, tables
+from followgraph.sources import delimited, documents as D, factors, pages as P, tables
 from followgraph.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,10 +453,16 @@ def artist_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(embedding[len(embedding)] AS DOUBLE) AS tail FROM embeddings
 """)
 def parse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.to_json(F.col("embedding").cast("array<double>"))
-    parsed = S.table(spark, sf_dir, "embeddings").select("vec_id", vectors.parse_features(text).alias("features"))
+    text = S.table(spark, sf_dir, "embeddings").select(
+        F.lit(0).alias("index"),
+        F.col("vec_id").cast("int").alias("id"),
+        F.col("embedding").cast("array<double>").alias("features"),
+    )
+    path = new_path(spark, "factors")
+    delimited.write_delimited(text, path)
+    parsed = factors.read_factor_text(spark, path)
     return parsed.select(
-        "vec_id",
+        F.col("id").cast("bigint").alias("vec_id"),
         F.size("features").cast("bigint").alias("dims"),
         F.col("features")[0].alias("head"),
         F.element_at("features", -1).alias("tail"),
@@ -488,6 +494,23 @@ def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("artist_id", "follower_id", "count")})
 
 
+@query(f"""
+    SELECT plan, count(*) AS edges, count(DISTINCT follower_id) AS followers
+    FROM ({_EDGES}) JOIN (SELECT p_partkey, p_type AS plan FROM part) ON artist_id = p_partkey GROUP BY plan
+""")
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ad-hoc SQL query over the registered views."""
+    views.register_views(S.alias_edges(spark, sf_dir), S.artists(spark, sf_dir), S.profiles(spark, sf_dir))
+    return spark.sql(f"""
+        SELECT a.plan, count(*) AS edges, count(DISTINCT f.follower_id) AS followers
+        FROM {views.EDGES} e
+        JOIN {views.ARTIST_IDS} i ON e.artist_alias = i.artist_alias
+        JOIN {views.FOLLOWER_IDS} f ON e.follower_alias = f.follower_alias
+        JOIN {views.ARTISTS} a ON i.artist_alias = a.sc_alias
+        GROUP BY a.plan
+    """)
+
+
 @query(f"""
     SELECT count(*) FILTER (WHERE p_partkey IS NULL) AS without_artist, count(*) FILTER (WHERE c_custkey IS NULL) AS without_profile
     FROM ({_EDGES}) LEFT JOIN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') ON artist_id = p_partkey
@@ -699,7 +722,7 @@ def _trained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean rmse of every rank x regParam, cross-validated on the training edges."""
     train_part, _ = model.split(_trained_edges(spark, sf_dir))
-    results = model.grid_results(model.grid_search(train_part))
+    results = model.grid_results(model.grid_search(train_part, parallelism=8))
     return spark.createDataFrame(results, "rank INT, regParam DOUBLE, rmse DOUBLE, best BOOLEAN")
 
 

@@ -41,6 +41,11 @@ def read_untyped(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("escape", '"').csv(path)
 
 
+def by_position(df: DataFrame, names: dict[int, str]) -> DataFrame:
+    """The columns at the given positions under new names; the others are left out."""
+    return df.select(*[F.col(df.columns[position]).alias(name) for position, name in names.items()])
+
+
 def sound_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from followgraph import schemas
-from followgraph.sources import delimited, documents, pages, tables
+from followgraph.sources import delimited, documents, factors, pages, tables
 
 
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
@@ -33,6 +33,22 @@ def test_factors_written_as_text(spark, tmp_path):
     assert back.collect()[0].features == "[0.5,0.25]"
 
 
+def test_factors_on_disk(spark, tmp_path):
+    text = str(tmp_path / "bestModelItems.csv")
+    open(text, "w").write('"",id,features\n0,1,"[0.5, 0.0]"\n1,11,"[0.25, 1e-05]"\n')
+    rows = factors.read_factor_text(spark, text)
+    assert {r.id: r.features for r in rows.collect()} == {1: [0.5, 0.0], 11: [0.25, 1e-05]}
+    stored = str(tmp_path / "factors")
+    factors.export_factors(rows.withColumn("artist_alias", F.concat(F.lit("a"), "id")), stored)
+    assert sorted(r.artist_alias for r in factors.read_factors(spark, stored).collect()) == ["a1", "a11"]
+
+
+def test_columns_by_position(spark):
+    rows = spark.createDataFrame([("e", "1", "2", "a", "x")], "_c0 STRING, _c1 STRING, _c2 STRING, _c3 STRING, _c4 STRING")
+    got = delimited.by_position(rows, {3: "artist_alias", 4: "follower_alias"})
+    assert got.columns == ["artist_alias", "follower_alias"] and got.head() == ("a", "x")
+
+
 def test_untyped_read_names_columns_by_position(spark, tmp_path):
     path = str(tmp_path / "x.csv")
     open(path, "w").write("h1,h2\n1,2\n")
