@@ -37,10 +37,10 @@ def _best_per_row(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the n highest finite scores per row; of equal scores the first columns."""
     if scores.shape[1] > n:
         bound = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n, None]
-        above = scores > bound
+        better = scores > bound
         equal = scores == bound
-        room = n - above.sum(axis=1, keepdims=True)
-        keep = above | (equal & (np.cumsum(equal, axis=1) <= room))
+        room = n - better.sum(axis=1, keepdims=True)
+        keep = better | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room))
     else:
         keep = np.ones(scores.shape, dtype=bool)
     return np.nonzero(keep & (scores > -np.inf))

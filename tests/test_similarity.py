@@ -4,8 +4,8 @@ import collections
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from followgraph.operators import overlap, similarity, tiles
 from followgraph.operators.evaluation import overlap_share
@@ -107,28 +107,28 @@ def test_common_followers_equal_brute_force(spark, block_artists, shard_rows):
     assert _found(best, "artist", "other") == want
 
 
-def test_sparse_and_dense_products_agree(monkeypatch, spark):
-    edges = spark.createDataFrame(_skewed_edges(), "artist_id INT, follower_id INT").coalesce(1)
-    import pyarrow as pa
-
-    rows = edges.groupBy(F.col("follower_id").alias("follower")).agg(F.collect_list("artist_id").alias("artists")).collect()
-    table = pa.table(
+def test_sparse_and_dense_products_agree(monkeypatch):
+    followed = collections.defaultdict(list)
+    for artist, follower in _skewed_edges():
+        followed[follower].append(artist)
+    rows = list(followed.values())
+    batch = pa.record_batch(
         {
-            "follower": [r.follower for r in rows],
-            "artists": [r.artists for r in rows],
-            "block": [0] * len(rows),
+            "low_artists": rows,
+            "high_artists": rows,
             "low": [0] * len(rows),
             "high": [0] * len(rows),
+            "shards": [1] * len(rows),
         }
     )
-    counts = []
-    for share, at_once, cells in ((10**9, 4, 64), (0, 4_000_000, 200)):  # all dense in small steps, all sparse
+    for share, at_once, cells in ((10**9, 4, 64), (0, 4_000_000, 200), (50, 100, 1000)):
         monkeypatch.setattr(overlap, "_DENSE_SHARE", share)
         monkeypatch.setattr(overlap, "_PAIRS_AT_ONCE", at_once)
         monkeypatch.setattr(overlap, "_DENSE_CELLS", cells)
-        a, b, common = overlap._tile_counts(table)
-        counts.append({(int(x), int(y)): int(n) for x, y, n in zip(a, b, common)})
-    assert counts[0] == counts[1] == dict(_overlaps(_skewed_edges()))
+        batches = [batch.slice(0, 3), batch.slice(3)]
+        parts = [p.to_pydict() for p in overlap._tile_function(None, False)(iter(batches))]
+        counts = {(a, b): n for p in parts for a, b, n in zip(p["artist"], p["other"], p["common"])}
+        assert counts == dict(_overlaps(_skewed_edges()))
 
 
 def test_no_common_followers_and_no_edges(spark):
