@@ -31,7 +31,7 @@ def nest(
         numbered.withColumn("_chunk", F.floor((F.col("_num") - 1) / chunk_rows))
         .groupBy(key, "_chunk")
         .agg(
-            F.array_sort(F.collect_list(F.struct("_num", F.struct(*fields).alias("_row")))).alias("_rows"),
+            F.sort_array(F.collect_list(F.struct("_num", F.struct(*fields).alias("_row")))).alias("_rows"),
             F.min("_num").alias("first_follower_num"),
         )
         .select(key, "first_follower_num", F.col("_rows._row").alias(output))

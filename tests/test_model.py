@@ -124,7 +124,7 @@ def test_answers_from_factors(spark, trained, tmp_path):
     assert [r["rank"] for r in got] == [1, 2, 3]
     assert all(int(r.similar_alias[-2:]) % 2 == 0 and r.artist_name == "ARTIST00" for r in got)
     assert got[0].similar_url == "https://soundcloud.com/" + got[0].similar_alias
-    assert lookup.recommend(spark, path, "artist05").count() == 0 and lookup.recommend(spark, path, "choose_one").count() == 0
+    assert lookup.recommend(spark, path, "artist05").count() == 0 and lookup.recommend(spark, path, "nobody").count() == 0
     assert spark.read.parquet(path).where("similar_alias = 'artist05'").count() == 0
     plan = lookup.recommend(spark, path, "artist00")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(alias,artist00)" in plan

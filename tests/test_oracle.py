@@ -1,6 +1,6 @@
 """Every registered query against its SQL in DuckDB, on whole tables.
 
-TEST_SF_DIR names another scale; ORACLE_TABLES_SLOW=1 includes the slow row-only queries.
+TEST_SF_DIR names another scale; TEST_SLOW=1 includes the grid search.
 """
 
 import os
@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SLOW = {"als_grid_search"}
+SLOW = set() if os.environ.get("TEST_SLOW") else {"als_grid_search"}
 
 
 @pytest.fixture(scope="module")
@@ -31,11 +31,6 @@ def ordered(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(list(frame.columns), na_position="last").reset_index(drop=True)
 
 
-def same_kind(a, b) -> bool:
-    kinds = {"i": "int", "u": "int", "f": "float", "b": "bool", "O": "object"}
-    return kinds.get(a.kind, a.kind) == kinds.get(b.kind, b.kind)
-
-
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)

@@ -34,7 +34,7 @@ def test_factors_written_as_text(spark, tmp_path):
 
 
 def test_factors_on_disk(spark, tmp_path):
-    text = str(tmp_path / "bestModelItems.csv")
+    text = str(tmp_path / "items.csv")
     open(text, "w").write('"",id,features\n0,1,"[0.5, 0.0]"\n1,11,"[0.25, 1e-05]"\n')
     rows = factors.read_factor_text(spark, text)
     assert {r.id: r.features for r in rows.collect()} == {1: [0.5, 0.0], 11: [0.25, 1e-05]}
