@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from followgraph import fixed
 from followgraph.functions import links, names
 from followgraph.operators import activity, edges as E, evaluation, lookup, model, nesting, numbering, overlap
-from followgraph.operators import roster as R, similarity
+from followgraph.operators import roster as R, similarity, tiles
 from followgraph.plans import stand_ins as S, training, views
 from followgraph.plans.roster_build import harvest_list as build_harvest_list
 from followgraph.session import new_path, written
@@ -522,6 +522,23 @@ def dropped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.dropped_edges(S.alias_edges(spark, sf_dir), artists, profiles)
 
 
+@query("""
+    SELECT o_custkey AS follower_alias, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS last_modified, o_orderpriority AS plan,
+           o_orderkey AS track_count
+    FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC,
+                                           o_orderpriority DESC, o_orderkey DESC) = 1
+""")
+def follower_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of the profiles that a follower has, one per order."""
+    rows = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("follower_alias"),
+        F.to_date("o_orderdate").cast("string").alias("last_modified"),
+        F.col("o_orderpriority").alias("plan"),
+        F.col("o_orderkey").alias("track_count"),
+    )
+    return E.follower_profile(rows)
+
+
 @query(f"SELECT follower_id, count(*) AS count FROM ({_EDGES}) GROUP BY follower_id")
 def follower_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.follower_activity(S.id_edges(spark, sf_dir), "follower_id")
@@ -652,6 +669,43 @@ def overlap_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.overlap_share(similar, overlap.top_overlap(edges, 10), 10)
 
 
+_PRODUCTS = """
+    SELECT a.vec_id AS follower_id, b.vec_id AS artist_id,
+           round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS prediction
+    FROM embeddings a CROSS JOIN embeddings b
+"""
+_PRODUCT_RANKS = f"""
+    SELECT follower_id, row_number() OVER (PARTITION BY follower_id ORDER BY prediction DESC, artist_id) AS rank, artist_id,
+           prediction FROM ({_PRODUCTS}) QUALIFY rank <= 10
+"""
+
+
+def _best_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as factors of followers and of artists."""
+    items = S.items(spark, sf_dir)
+    return tiles.best_products(items, items, 10).select(
+        F.col("row_id").alias("follower_id"),
+        F.col("rank").cast("bigint").alias("rank"),
+        F.col("column_id").alias("artist_id"),
+        F.col("score").alias("prediction"),
+    )
+
+
+@query(f"SELECT follower_id, rank, artist_id FROM ({_PRODUCT_RANKS})")
+def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best_products(spark, sf_dir).drop("prediction")
+
+
+@query(f"""
+    SELECT count(*) AS pairs, round(sqrt(avg(power(prediction - CASE WHEN e.artist_id IS NULL THEN 0 ELSE 1 END, 2))), 9) AS rmse,
+           round(avg(CASE WHEN e.artist_id IS NULL THEN 0.0::DOUBLE ELSE 1 END), 9) AS hit_rate
+    FROM ({_PRODUCT_RANKS}) p LEFT JOIN ({_EDGES}) e ON p.follower_id = e.follower_id AND p.artist_id = e.artist_id
+""")
+def top_n_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.top_n_error(_best_products(spark, sf_dir), S.id_edges(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 9) for c in ("rmse", "hit_rate")})
+
+
 # --- factors -----------------------------------------------------------------------------------
 
 
