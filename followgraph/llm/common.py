@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from followgraph.session import written
 
+FRAGMENTS = 8
 _BROADCAST_ROWS = 2_000_000
 
 
@@ -75,3 +76,71 @@ def components(edges: DataFrame, left: str, right: str, label: str = "links") ->
 def _fingerprint(edges: DataFrame) -> tuple:
     digest = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count("*"), digest).head())
+
+
+def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
+    pieces = (
+        sets.select("node", "n", F.explode("grams").alias("g"))
+        .groupBy("node", "n", (F.col("g.fragment") % FRAGMENTS).alias("fragment"))
+        .agg(F.collect_list("g.gram").alias("part"))
+    )
+    left = pieces.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("part").alias("part_a"))
+    right = pieces.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("part").alias("part_b"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
+    partial = partial.withColumn("common", F.size(F.array_intersect("part_a", "part_b")))
+    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
+    return total.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
+
+
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of the linked nodes but the smallest of each component.
+
+    ``postings`` (node, n, gram) says which nodes share which key; ``verify`` keeps the pairs (a, b) that are links. Only pairs
+    in different components are verified: first everybody with one leader per key, a new one each turn, until the rest is
+    small or stops shrinking; then all pairs of the rest.
+    """
+    labels, edges, past, seen = None, None, None, None
+    for turn in range(100):
+        rows = postings.withColumn("label", F.col("node"))
+        if labels is not None:
+            rows = postings.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        rows = rows.select("node", "n", "gram", "label")
+        per_label = rows.groupBy("gram", "label").agg(F.count("*").alias("k"))
+        per_gram = per_label.groupBy("gram").agg(
+            F.count("*").alias("labels"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same")
+        )
+        open_grams = written(per_gram.where("labels > 1"), "open")
+        open_pairs, open_rows = open_grams.agg(
+            F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0)),
+            F.coalesce(F.sum("all"), F.lit(0)),
+        ).head()
+        if not open_pairs:
+            break
+        rows = written(rows.join(open_grams.select("gram"), "gram"), "open-rows")
+        last = turn > 0 and (open_pairs <= 2 * open_rows or past is not None and open_pairs > 0.9 * past)
+        past = open_pairs
+        other = rows.select(F.col("node").alias("b"), F.col("n").alias("m"), "gram", F.col("label").alias("other"))
+        if last:
+            pairs = rows.join(other, "gram").where("label < other")
+        else:
+            # one leader per shingle; another one each turn
+            rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+            ordered = F.struct(rank.alias("rank"), F.col("node"), F.col("n"), F.col("label"))
+            leader = rows.groupBy("gram").agg(F.min(ordered).alias("first"))
+            pairs = rows.join(leader, "gram").select(
+                "node", "n", "label", F.col("first.node").alias("b"), F.col("first.n").alias("m"), F.col("first.label").alias("other")
+            ).where("label != other")
+        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = written(verify(pairs), "links")
+        seen = pairs if seen is None else seen.union(pairs)
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges, "a", "b")
+        if last:
+            break
+    if labels is None:
+        labels = postings.select("node", F.col("node").alias("component")).limit(0)
+    return labels

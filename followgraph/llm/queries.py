@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from followgraph.llm import ngram_join
+from followgraph.llm import decontaminate, huffman, ngram_join, packing, substring_dedup
 from followgraph.llm.common import table
+from followgraph.session import new_path
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -21,7 +23,7 @@ OP1_SQL = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 pairs AS (
@@ -35,10 +37,74 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word spans of each document that repeat in other documents, and which of them are removed."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best place of each benchmark item in each document that contains it."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_MASKED = [
+    f"concat_ws(' ', {number}, {', '.join(f'w[i + {p + 1}]' for p, c in enumerate(mask) if c == '1')})"
+    for number, mask in enumerate(decontaminate.MASKS)
+]
+_PLAIN_WORDS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+places AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - {decontaminate.SPAN - 1})) AS i FROM docs WHERE len(w) >= {decontaminate.SPAN}),
+doc_seeds AS (SELECT doc_id, i, unnest([{', '.join(_MASKED)}]) AS s FROM places),
+item_places AS (
+  SELECT item_id, w, unnest(range(0, len(w) - {decontaminate.SPAN - 1})) AS i FROM items WHERE len(w) >= {decontaminate.SPAN}),
+item_seeds AS (SELECT item_id, i, unnest([{', '.join(_MASKED)}]) AS s FROM item_places),
+diagonals AS (SELECT DISTINCT doc_id, item_id, d.i - t.i AS start FROM doc_seeds d JOIN item_seeds t ON d.s = t.s),
+equal AS (
+  SELECT g.doc_id, g.item_id, g.start, len(t.w) AS item_words,
+    list_transform(range(greatest(0, -start), least(len(t.w), len(d.w) - start)), lambda k: t.w[k + 1] = d.w[k + start + 1]) AS e
+  FROM diagonals g JOIN docs d ON d.doc_id = g.doc_id JOIN items t ON t.item_id = g.item_id),
+steps AS (
+  SELECT *, unnest(e) AS same, unnest(range(0, len(e))) AS k FROM equal),
+summed AS (
+  SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, start ORDER BY k) AS total FROM steps),
+lowest AS (
+  SELECT *, least(0, min(total) OVER (PARTITION BY doc_id, item_id, start ORDER BY k)) AS least_total FROM summed),
+scored AS (
+  SELECT doc_id, item_id, start, item_words, count(*) FILTER (same) AS matched, max(total - least_total) AS score
+  FROM lowest GROUP BY doc_id, item_id, start, item_words),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, score DESC, start) AS r
+  FROM scored WHERE 100 * matched >= {decontaminate.PERCENT} * item_words OR score >= {decontaminate.SCORE})
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(item_words AS INT) AS item_words, CAST(matched AS INT) AS matched,
+  CAST(score AS INT) AS score FROM best WHERE r = 1
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids."""
+    return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from their Huffman-coded files."""
+    path = new_path(spark, "token-files")
+    huffman.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return huffman.read_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_packing": op8_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
 }

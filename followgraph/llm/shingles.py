@@ -16,7 +16,7 @@ _PIECE = 1 << 20  # bytes hashed at once; longer texts are cut between words
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -26,7 +26,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+_BYTE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,11 +63,11 @@ def _piece_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     terms = _BYTE[data[inside]] * _powers(int(place.max()) + 1)[place]
     edges = np.flatnonzero(np.diff(owner, prepend=-1))
     sums = np.add.reduceat(terms, edges)
-    return _mixed(sums + np.diff(np.append(edges, len(owner))).astype(np.uint64)), starts
+    return mixed(sums + np.diff(np.append(edges, len(owner))).astype(np.uint64)), starts
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and, per text, the index of its first word (one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, per text the index of its first word (one more at the end), and each word's first byte."""
     hashes, starts = [], []
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
@@ -87,9 +87,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         starts.append(s + at)
         at = stop
     if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.int64)
     places = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(places, offsets)
+    return np.concatenate(hashes), np.searchsorted(places, offsets), places
 
 
 def gram_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def gram_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.n
     rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
     for k in range(width):
         rolled += words[k : k + len(rolled)] * _powers(width + 1)[k + 1]
-    rolled = _mixed(rolled + np.uint64(width))
+    rolled = mixed(rolled + np.uint64(width))
     long = counts >= width
     sizes = np.where(long, counts - width + 1, (counts > 0).astype(np.int64))
     edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -109,7 +109,7 @@ def gram_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.n
     for t in np.flatnonzero((counts > 0) & ~long):
         own = words[firsts[t] : firsts[t + 1]]
         total = np.sum(own * _powers(width + 1)[1 : len(own) + 1], dtype=np.uint64)
-        out[edges[t]] = _mixed(np.array([total + np.uint64(len(own))], dtype=np.uint64))[0]
+        out[edges[t]] = mixed(np.array([total + np.uint64(len(own))], dtype=np.uint64))[0]
     return out, edges
 
 
@@ -140,7 +140,7 @@ def gram_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray
     """(row, sorted distinct shingle hashes) of every text."""
     data, offsets = string_buffers(texts)
     for low, high in text_chunks(texts):
-        words, firsts = word_hashes(data, offsets[low : high + 1])
+        words, firsts, _ = word_hashes(data, offsets[low : high + 1])
         grams, edges = gram_hashes(words, firsts, width)
         for row in range(high - low):
             yield low + row, np.unique(grams[edges[row] : edges[row + 1]])
