@@ -31,16 +31,21 @@ def _words(text: Column) -> Column:
 
 def _seeds(rows: DataFrame, key: str) -> DataFrame:
     """(key, seed, at) of every window and mask of the text."""
-    hashed = rows.select(key, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= SPAN)
 
-    def masked(number: int, mask: str) -> Column:
+    def masked(h: Column, number: int, mask: str) -> Column:
         places = [k for k, c in enumerate(mask) if c == "1"]
         return F.transform(
-            F.sequence(F.lit(0), F.size("h") - SPAN), lambda i: F.xxhash64(F.lit(number), *[F.get(F.col("h"), i + p) for p in places])
+            F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.xxhash64(F.lit(number), *[F.get(h, i + p) for p in places])
         )
 
-    windows = hashed.select(key, (F.size("h") - SPAN + 1).alias("n"), F.concat(*[masked(*m) for m in enumerate(MASKS)]).alias("s"))
-    return windows.select(key, "n", F.posexplode("s").alias("at", "seed")).select(key, "seed", (F.col("at") % F.col("n")).alias("at"))
+    def windows(h: Column) -> Column:
+        return F.when(F.size(h) >= SPAN, F.concat(*[masked(h, *m) for m in enumerate(MASKS)])).otherwise(F.array().cast("array<bigint>"))
+
+    # a lambda holds the words' hashes, so that they are computed once for a text and not once for each window
+    hashes = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))
+    seeds = rows.select(key, F.get(F.transform(F.array(hashes), windows), 0).alias("s"))
+    places = seeds.select(key, F.size("s").alias("n"), F.posexplode("s").alias("at", "seed"))
+    return places.select(key, "seed", F.expr(f"at % (n div {len(MASKS)})").cast("int").alias("at"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
