@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from followgraph.session import written
 
-FRAGMENTS = 8
 _BROADCAST_ROWS = 2_000_000
 
 
@@ -78,69 +78,94 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), digest).head())
 
 
-def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
-    pieces = (
-        sets.select("node", "n", F.explode("grams").alias("g"))
-        .groupBy("node", "n", (F.col("g.fragment") % FRAGMENTS).alias("fragment"))
-        .agg(F.collect_list("g.gram").alias("part"))
-    )
-    left = pieces.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("part").alias("part_a"))
-    right = pieces.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("part").alias("part_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = partial.withColumn("common", F.size(F.array_intersect("part_a", "part_b")))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-    return total.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
+_TILE_NODES = 256
+_TILE_GRAMS = 1 << 18
+_FRAGMENT = 4096
+
 
+def linked(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between sets that share a key: (node, component) without the components' smallest nodes, and (node, n_links).
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of the linked nodes but the smallest of each component.
+    ``postings`` (node, gram) says which nodes share which key, ``sets`` (node, n, weight, grams) has their sizes, weights and, in
+    ascending order, the elements that any other set may have. ``n_links`` sums the weights of the linked nodes.
 
-    ``postings`` (node, n, gram) says which nodes share which key; ``verify`` keeps the pairs (a, b) that are links. Only pairs
-    in different components are verified: first everybody with one leader per key, a new one each turn, until the rest is
-    small or stops shrinking; then all pairs of the rest.
+    Nodes that share keys, directly or not, form a candidate group. A group is dealt to blocks of bounded size, and each pair of blocks
+    with a common key is one tile. Inside a tile the elements are cut into fragments; the partial overlaps
+    of a fragment are one matrix product, and their sum per pair decides. Pairs never become rows: a tile returns a forest of
+    its links and the links per node.
     """
-    labels, edges, past, seen = None, None, None, None
-    for turn in range(100):
-        rows = postings.withColumn("label", F.col("node"))
-        if labels is not None:
-            rows = postings.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rows = rows.select("node", "n", "gram", "label")
-        per_label = rows.groupBy("gram", "label").agg(F.count("*").alias("k"))
-        per_gram = per_label.groupBy("gram").agg(
-            F.count("*").alias("labels"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same")
-        )
-        open_grams = written(per_gram.where("labels > 1"), "open")
-        open_pairs, open_rows = open_grams.agg(
-            F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0)),
-            F.coalesce(F.sum("all"), F.lit(0)),
-        ).head()
-        if not open_pairs:
-            break
-        rows = written(rows.join(open_grams.select("gram"), "gram"), "open-rows")
-        last = turn > 0 and (open_pairs <= 2 * open_rows or past is not None and open_pairs > 0.9 * past)
-        past = open_pairs
-        other = rows.select(F.col("node").alias("b"), F.col("n").alias("m"), "gram", F.col("label").alias("other"))
-        if last:
-            pairs = rows.join(other, "gram").where("label < other")
-        else:
-            # one leader per shingle; another one each turn
-            rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            ordered = F.struct(rank.alias("rank"), F.col("node"), F.col("n"), F.col("label"))
-            leader = rows.groupBy("gram").agg(F.min(ordered).alias("first"))
-            pairs = rows.join(leader, "gram").select(
-                "node", "n", "label", F.col("first.node").alias("b"), F.col("first.n").alias("m"), F.col("first.label").alias("other")
-            ).where("label != other")
-        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs), "links")
-        seen = pairs if seen is None else seen.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges, "a", "b")
-        if last:
-            break
-    if labels is None:
-        labels = postings.select("node", F.col("node").alias("component")).limit(0)
-    return labels
+    first = postings.groupBy("gram").agg(F.min("node").alias("b"))
+    groups = components(postings.join(first, "gram").select("node", "b"), "node", "b", "groups")
+    nodes = sets.select("node", F.size("grams").alias("size")).join(groups, "node", "left")
+    nodes = written(nodes.select("node", "size", F.coalesce("component", "node").alias("group")), "group-nodes")
+    weighty = nodes.groupBy("group").agg(F.count("*").alias("members"), F.sum("size").alias("size")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / _TILE_NODES), F.ceil(F.col("size") / _TILE_GRAMS)).cast("int")
+    dealt = nodes.join(weighty.select("group", blocks.alias("blocks")), "group")
+    dealt = written(dealt.select("node", "group", F.expr("pmod(xxhash64(node), blocks)").cast("int").alias("block")), "blocks")
+    by_gram = postings.join(dealt, "node").groupBy("gram", "group").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    pairs = F.expr("flatten(transform(blocks, i -> transform(filter(blocks, j -> j >= i), j -> struct(i as i, j as j))))")
+    tiles = by_gram.select("group", "blocks").distinct().select("group", F.explode(pairs).alias("t")).select("group", "t.i", "t.j")
+    tiles = written(tiles.distinct(), "tiles")
+    sides = tiles.select("group", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
+        tiles.where("i < j").select("group", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
+    )
+    rows = sides.join(dealt, ["group", "block"]).select("group", "i", "j", "side", "node").join(sets, "node")
+
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["side"] == 0].reset_index(drop=True)
+        other = rows[rows["side"] == 1].reset_index(drop=True)
+        same = not len(other)
+        if same:
+            other = own
+        common = _overlaps(own["grams"], own["grams"] if same else other["grams"])
+        sizes = own["n"].to_numpy()[:, None] + other["n"].to_numpy()[None, :]
+        links = 100 * common >= percent * (sizes - common)
+        if same:
+            np.fill_diagonal(links, False)
+        a, b = own["node"].to_numpy(), other["node"].to_numpy()
+        counts = [(a, links @ other["weight"].to_numpy())] + ([] if same else [(b, links.T @ own["weight"].to_numpy())])
+        # smallest linked node, again and again, until nothing changes
+        least_a, least_b = a.copy(), b.copy()
+        while True:
+            top = np.iinfo(np.int64).max
+            new_a = np.minimum(least_a, np.where(links, least_b[None, :], top).min(axis=1))
+            new_b = np.minimum(least_b, np.where(links, new_a[:, None], top).min(axis=0))
+            if same:
+                new_a = new_b = np.minimum(new_a, new_b)
+            if (new_a == least_a).all() and (new_b == least_b).all():
+                break
+            least_a, least_b = new_a, new_b
+        pairs = [(a, least_a)] + ([] if same else [(b, least_b)])
+        node = np.concatenate([x for x, _ in pairs])
+        low = np.concatenate([y for _, y in pairs])
+        n = np.concatenate([c for _, c in counts]).astype(np.int64)
+        keep = (n > 0) | (node != low)
+        return pd.DataFrame({"node": node[keep], "low": low[keep], "n_links": n[keep]})
+
+    found = rows.groupBy("group", "i", "j").applyInPandas(tile, "node bigint, low bigint, n_links bigint")
+    found = written(found, "links")
+    return components(found, "node", "low", "linked"), found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _overlaps(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Common elements of every left set with every right set; fragments of the order are counted apart and summed."""
+    sides = []
+    for grams in (left, right):
+        flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in grams])
+        sides.append((flat, np.repeat(np.arange(len(grams)), [len(g) for g in grams])))
+    (x, own), (y, other) = sides
+    shared = np.intersect1d(x, y) if left is not right else np.unique(x)
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    at_x, at_y = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    in_x = (at_x < len(shared)) & (shared[np.minimum(at_x, len(shared) - 1)] == x) if len(shared) else np.zeros(len(x), bool)
+    in_y = (at_y < len(shared)) & (shared[np.minimum(at_y, len(shared) - 1)] == y) if len(shared) else np.zeros(len(y), bool)
+    order_x, order_y = np.flatnonzero(in_x)[np.argsort(at_x[in_x])], np.flatnonzero(in_y)[np.argsort(at_y[in_y])]
+    for low in range(0, len(shared), _FRAGMENT):
+        parts = []
+        for at, order, owner, rows in ((at_x, order_x, own, len(left)), (at_y, order_y, other, len(right))):
+            mine = order[np.searchsorted(at[order], low) : np.searchsorted(at[order], low + _FRAGMENT)]
+            part = np.zeros((rows, min(_FRAGMENT, len(shared) - low)), dtype=np.float32)
+            part[owner[mine], at[mine] - low] = 1
+            parts.append(part)
+        total += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return total

@@ -6,12 +6,10 @@ The distinct shingles of all documents stand in one global order, which is cut i
 2. Order by hash. If J(a, b) >= t, then a and b share at least l shingles among the first n - ceil(t n) + l ones of either
    set. The fragments of this order are counted apart: each says how many shingles of a class are known to
    another class, and the sums per class leave only the classes that can have a link at all.
-3. For the rest, the order is by document frequency, rarest first. Classes that share a shingle of their prefix are candidates;
-   every fragment counts a pair's partial overlap, and the sum per pair decides.
+3. For the rest, the order is by document frequency, rarest first. Classes that share a shingle of their prefix are candidates. Candidates
+   meet in tiles of bounded size, where every fragment's partial overlaps are counted apart and summed per pair.
 
-Step 3 proposes a pair only between different components: first everybody with one leader per shingle, so that a
-group of k near copies costs about k pairs and not k * k; then exactly those pairs that still lie in different components. All
-links between different components are thus examined and no link is lost for the components.
+All links are found, and pairs never become rows: see ``common.linked``.
 
 Nulls, empty texts and white space give the empty set: no links, a component of its own. Rows with the same
 ``doc_id`` are one node. Rows without ``doc_id`` take no part. Ties are settled by the smaller id. Other columns don't matter.
@@ -27,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from followgraph.llm.common import FRAGMENTS, linked, overlapping, pack, small_side, unpack
+from followgraph.llm.common import linked, pack, small_side, unpack
 from followgraph.llm.shingles import gram_sets
 from followgraph.session import written
 
@@ -157,56 +155,46 @@ def _fragment_rows(block: dict[int, np.ndarray], fragments: int) -> Iterator[pa.
     )
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n, grams, rare): shared shingles of every node, rarest first, and how many of them are its prefix.
-
-    ``grams`` are structs (fragment, gram) in the global order by (document frequency, hash).
-    """
+def _shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n, weight, grams, rare): the shingles of every class that another one has, and the rarest that are its prefix."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [g.astype(np.int64) for _, g in gram_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(small_side(nodes), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(small_side(classes.select("node")), "node", "left_semi")
     sets = texts.mapInArrow(grams, "node bigint, grams array<bigint>").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    elements = sets.select("node", F.explode("grams").alias("gram"))
+    elements = written(sets, "sets").select("node", F.explode("grams").alias("gram"))
     frequency = elements.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    frequency = written(frequency, "frequency")
-    cuts = frequency.approxQuantile("df", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 0.001)
-    fragment = sum([(F.col("df") > c).cast("int") for c in sorted(set(cuts))], F.lit(0))
-    # equal frequencies are cut further by hash, so that the fragments stay even
-    spread = F.pmod(F.shiftright("gram", 40), F.lit(FRAGMENTS)).cast("int")
-    frequency = frequency.select("gram", "df", (fragment * FRAGMENTS + spread).alias("fragment"))
-    shared = elements.join(frequency, "gram").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("df", "gram", "fragment"))).alias("grams")
-    )
-    sizes = sets.select("node", F.size("grams").cast("bigint").alias("n"))
-    prefix = F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1 - (n - size(grams))")
-    return sizes.join(shared, "node").withColumn("rare", prefix).where("rare > 0")
+    shared = elements.join(frequency, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    prefix = F.expr(f"size(order) - cast(ceil({percent} * n / 100) as bigint) + 1").cast("int")
+    grams = F.array_sort(F.transform("order", lambda x: x["gram"]))
+    rare = F.transform(F.slice("order", 1, F.col("prefix")), lambda x: x["gram"])
+    rows = shared.join(classes, "node").withColumn("prefix", prefix).where("prefix > 0")
+    return rows.select("node", "n", "weight", grams.alias("grams"), rare.alias("rare"))
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row with a doc_id; see the module's notes."""
+    """(doc_id, n_shingles, component_id, n_links) of every row with a doc_id; ``n_links`` counts rows. See the module's notes."""
     sets = written(shingle_sets(docs, width), "shingle-sets")
     classes = sets.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.count("*").alias("weight")
     )
     classes = written(classes, "classes")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
     known = _linkable_classes(docs.where("doc_id is not null"), total, width, percent)
     enough = F.expr(f"known >= greatest(1, cast(floor(ceil({percent} * n / 100) / 4) as bigint))")
-    nodes = written(classes.join(known, "set_key").where(enough).select("node"), "nodes")
-    segments = written(_segments(docs, nodes, width, percent), "segments")
-    rare = segments.select("node", "n", F.explode(F.expr("slice(grams, 1, cast(rare as int))")).alias("g"))
-    postings = written(rare.select("node", "n", F.col("g.gram").alias("gram")), "postings")
-    labels = linked(postings, lambda pairs: overlapping(pairs, segments, percent), percent)
-    joined = sets.join(classes.select("set_key", "node"), "set_key", "left")
-    joined = joined.withColumn("node", F.coalesce("node", "doc_id"))
-    return joined.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
-    )
+    linkable = written(classes.join(known, "set_key").where(enough).select("node", "n", "weight"), "linkable")
+    shared = written(_shared_sets(docs, linkable, width, percent), "shared")
+    postings = written(shared.select("node", F.explode("rare").alias("gram")), "postings")
+    labels, links = linked(postings, shared.drop("rare"), percent)
+    joined = sets.join(classes.select("set_key", "node", "weight"), "set_key", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    copies = F.coalesce(F.col("weight") - 1, F.lit(0))
+    return joined.join(labels, "node", "left").join(links, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"),
+        (copies + F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
 
 
 def one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

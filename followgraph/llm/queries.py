@@ -33,7 +33,8 @@ links AS (
   SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
   WHERE 100 * common >= 75 * (s.n + t.n - common)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id,
+  (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from followgraph.llm.common import FRAGMENTS, linked, overlapping, pack, small_side, unpack
+from followgraph.llm.common import linked, pack, small_side, unpack
 from followgraph.llm.shingles import gram_hashes, mixed, string_buffers, text_chunks, word_hashes
 from followgraph.session import written
 
@@ -221,8 +221,8 @@ def _line_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     some = some.join(small_side(written(nodes.select("doc_id").distinct(), "line-docs")), "doc_id", "left_semi")
     rows = some.mapInArrow(sets, "node bigint, doc_id bigint, grams array<bigint>")
     rows = rows.join(small_side(nodes, 32), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    fragment = F.expr(f"transform(grams, g -> struct(cast(pmod(g, {FRAGMENTS}) as int) as fragment, g as gram))")
-    return written(rows.select("node", F.size("grams").cast("bigint").alias("n"), fragment.alias("grams")), "line-sets")
+    n = F.size("grams").cast("bigint")
+    return written(rows.select("node", n.alias("n"), F.lit(1).cast("bigint").alias("weight"), "grams"), "line-sets")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -240,9 +240,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     postings = written(postings, "postings")
     nodes = written(postings.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sets = _line_sets(docs, nodes)
-    # the numbers of distinct shingles bound the sizes of the pairs
-    sized = postings.select("gram", "node").join(sets.select("node", "n"), "node").select("node", "n", "gram")
-    labels = linked(written(sized, "sized"), lambda pairs: overlapping(pairs, sets, PERCENT), PERCENT)
+    labels, _ = linked(postings.select("node", "gram").distinct(), sets, PERCENT)
     members = labels.union(labels.select(F.col("component").alias("node"), "component").distinct())
     members = written(members.join(nodes, "node"), "members")
     keepers = members.groupBy("component").agg(F.min("doc_id").alias("keeper"))
