@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from followgraph.llm import decontaminate, huffman, ngram_join, packing, substring_dedup
+from followgraph.llm import decontaminate, huffman, language_id, license_scan, ngram_join, packing, substring_dedup
 from followgraph.llm.common import table
 from followgraph.session import new_path
 
@@ -97,9 +97,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_files(spark, path)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learnt from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~language_id.held_out())
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
