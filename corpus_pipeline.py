@@ -1,28 +1,60 @@
 """A corpus clean-up of operators, stage after stage over the documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
-next stage's documents.
+next stage's documents. All stages but the last keep the columns of the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from followgraph.llm import ngram_join
+from followgraph.llm import decontaminate, language_id, ngram_join, packing, substring_dedup
 from followgraph.session import ship_package, written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    ship_package(spark)
+    return language_id.identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id."""
     ship_package(spark)
     return ngram_join.one_per_group(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents are cut from all but one; ``n_chars`` follows the text."""
+    ship_package(spark)
+    rows = substring_dedup.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return rows
+    return rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    ship_package(spark)
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents in sequences of 1024 ids."""
+    ship_package(spark)
+    return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
-    ("near_duplicates", near_duplicates),
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_passages),
+    ("packing", pack),
 ]
 
-#: SQL cannot express the trained and tokenised stages.
+#: SQL cannot express the trained and tokenised stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
