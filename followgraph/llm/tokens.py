@@ -1,6 +1,6 @@
 """Token ids of whole texts by public tokenizers, with a bounded cache of the ids of words.
 
-Synthetic and natural texts repeat their words, and a word's ids don't depend on its neighbours where both tokenizers here cut
+Texts repeat their words, and a word's ids don't depend on its neighbours where both tokenizers here cut
 a text anyway: before a space that precedes a visible character (byte-level BPE), and at every space (BPE with word ends, which
 drops white space). So only the words that a worker hasn't met are encoded.
 """
@@ -8,12 +8,24 @@ drops white space). So only the words that a worker hasn't met are encoded.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
 
 _MOST_WORDS = 600_000  # kept per worker and tokenizer
 
+#: words that the tokenizers' clean-up leaves alone but for their case
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -34,6 +46,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._keeps_spaces = keeps_spaces
+        self._bytes = _byte_letters()
         (self._mark,) = self._tokenizer.encode("\n" if keeps_spaces else "|", add_special_tokens=False).ids
         self._forget()
 
@@ -41,25 +54,77 @@ class Encoder:
         self._first: dict[str, int] = {}  # words as they are
         self._later: dict[str, int] = {}  # words with a space before; -1 where the cut isn't safe
         self._flat = np.zeros(1 << 16, dtype=np.uint32)
-        self._used = 0
-        self._begin: list[int] = []
-        self._size: list[int] = []
+        self._begin = np.zeros(1 << 12, dtype=np.int64)
+        self._size = np.zeros(1 << 12, dtype=np.int64)
+        self._uses = np.zeros(1 << 12, dtype=np.int64)
+        self._used = self._slots = 0
+
+    def _tidy(self) -> None:
+        """Keep the words that came more than once, most used first, up to half of what fits."""
+        uses, flat, begin, size = self._uses[: self._slots], self._flat, self._begin, self._size
+        often = np.argsort(-uses, kind="stable")[: _MOST_WORDS // 2]
+        keep = np.zeros(self._slots, dtype=bool)
+        keep[often[uses[often] > 1]] = True
+        old = (self._first, self._later)
+        self._forget()
+        for known, before in zip((self._first, self._later), old):
+            words = [w for w, s in before.items() if s >= 0 and keep[s]]
+            slots = np.array([before[w] for w in words], dtype=np.int64)
+            sizes = size[slots]
+            ends = np.cumsum(sizes)
+            ids = flat[np.repeat(begin[slots] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+            self._store(known, words, ids, ends - sizes, sizes)
+            known.update((w, -1) for w, s in before.items() if s < 0)
+            self._uses[: self._slots] = 1
 
     def _learn(self, known: dict[str, int], words: set[str], lead: str) -> None:
-        """Encode the words that aren't known yet: many in one text, divided by a mark that is always one id of its own."""
-        mark = "\n" if self._keeps_spaces else "|"
-        new, alone = [], []
+        """Encode the words that aren't known yet.
+
+        Words that end in a full stop or comma after a letter, or hold line breaks between visible characters, are put together
+        from shorter ones: both tokenizers cut there. The rest is encoded as one text, divided by a mark that is always one id.
+        """
+        new, joined, singles, stops = [], [], set(), (".", ",")
         for word in words.difference(known):
             if lead and self._unsafe(word):
                 known[word] = -1
-            elif mark in word or not lead and self._keeps_spaces:
-                alone.append(word)
+            elif "\n" not in word:
+                if word[-1:] in stops and word[-2:-1].isalpha():
+                    joined.append((word, (word[:-1], word[-1])))
+                    singles.add(word[:-1])
+                else:
+                    new.append(word)
+            elif len(pieces := self._pieces(word)) > 1:
+                joined.append((word, pieces))
+                singles.add(pieces[0])
             else:
                 new.append(word)
+        if joined:
+            rest = {piece for _, pieces in joined for piece in pieces[1:]}
+            self._learn(known, singles, lead)
+            self._learn(self._first, rest, "")
+            slots = [s for _, pieces in joined for s in (known[pieces[0]], *map(self._first.__getitem__, pieces[1:]))]
+            counts = np.array([len(pieces) for _, pieces in joined], dtype=np.int64)
+            ids, ends = self._gather(np.array(slots, dtype=np.int64))
+            cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
+            self._store(known, [word for word, _ in joined], ids, cuts[:-1], np.diff(cuts))
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        if letters:
+            # the model itself, without looking for cuts in a word of letters
+            tokenize, table = self._tokenizer.model.tokenize, self._bytes
+            plain = letters if self._keeps_spaces else [w.lower() for w in letters]
+            codes = [tokenize((lead + w).encode().decode("latin-1").translate(table)) for w in plain]
+            sizes = np.array([len(c) for c in codes], dtype=np.int64)
+            self._store(known, letters, np.array([t.id for c in codes for t in c], dtype=np.uint32), np.cumsum(sizes) - sizes, sizes)
+            new = [w for w in new if w not in known]
+        mark = "\n" if self._keeps_spaces else "|"
+        plain = lead or not self._keeps_spaces
+        alone = [w for w in new if mark in w or not plain]
+        new = [w for w in new if mark not in w] if plain else []
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             text = f"{lead}{f'{mark}{lead}'.join(some)}{mark}" if lead else f"{f' {mark} '.join(some)} {mark}"
-            ids = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            (code,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(code.ids, dtype=np.uint32)
             ends = np.flatnonzero(ids == self._mark)
             begins = np.concatenate([[0], ends[:-1] + 1])
             self._store(known, some, ids, begins, ends - begins)
@@ -70,16 +135,41 @@ class Encoder:
             ids = np.array([i for c in codes for i in c], dtype=np.uint32)
             self._store(known, some, ids, np.cumsum(sizes) - sizes, sizes)
 
+    @staticmethod
+    def _pieces(word: str) -> list[str]:
+        """The word, or its parts around line breaks and before a last full stop or comma."""
+        out = []
+        for k, part in enumerate(word.split("\n")):
+            if k:
+                out.append("\n")
+            if not part or part[0].isspace() or part[-1].isspace() or ord(part[0]) < 33 or ord(part[-1]) < 33:
+                if "\n" in word:
+                    return [word]
+            if len(part) > 1 and part[-1] in ".," and part[-2].isalpha():
+                out += [part[:-1], part[-1]]
+            else:
+                out.append(part)
+        return out
+
     def _store(self, known: dict, words: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         assert len(words) == len(begins)
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        slot, end = self._slots, self._slots + len(words)
+        while end > len(self._begin):
+            self._begin, self._size, self._uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._size, self._uses))
         self._flat[self._used : self._used + len(ids)] = ids
-        slot = len(self._begin)
-        known.update(zip(words, range(slot, slot + len(words))))
-        self._begin.extend((begins + self._used).tolist())
-        self._size.extend(sizes.tolist())
+        known.update(zip(words, range(slot, end)))
+        self._begin[slot:end] = begins + self._used
+        self._size[slot:end] = sizes
         self._used += len(ids)
+        self._slots = end
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots one after the other, and where each begins (one more at the end)."""
+        sizes = self._size[slots]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self._flat[np.repeat(self._begin[slots] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     def _parts(self, text: str) -> list[str]:
         if not self._keeps_spaces:
@@ -102,8 +192,8 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their number per text."""
-        if len(self._begin) > _MOST_WORDS:
-            self._forget()
+        if self._slots > _MOST_WORDS:
+            self._tidy()
         split = [self._parts(t) for t in texts]
         if self._keeps_spaces:
             heads = [parts[0] for parts in split]
@@ -122,10 +212,8 @@ class Encoder:
         counts = np.array([len(slots) for slots in lists], dtype=np.int64)
         slots = [slot for slots in lists for slot in slots]
         slots = np.array(slots, dtype=np.int64)
-        begin, size = np.array(self._begin, dtype=np.int64), np.array(self._size, dtype=np.int64)
-        sizes = size[slots]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self._flat[np.repeat(begin[slots] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids, ends = self._gather(slots)
+        self._uses[: self._slots] += np.bincount(slots, minlength=self._slots)[: self._slots]
         cuts = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(ends[cuts])
 
