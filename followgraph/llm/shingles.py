@@ -113,7 +113,7 @@ def gram_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.n
     return out, edges
 
 
-def text_chunks(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each; a longer text is a range of its own."""
     offsets = string_buffers(texts)[1]
     low = 0
