@@ -378,6 +378,20 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stored_edges(spark, stored)
 
 
+@query("SELECT event_type AS artist_alias, CAST(user_id AS VARCHAR) AS follower_alias FROM events GROUP BY 1, 2")
+def ingest_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with checkpoints of their own into one table."""
+    events = S.table(spark, sf_dir, "events")
+    stored = new_path(spark, "stored")
+    for part in (0, 1):
+        source, state = new_path(spark, "pages"), new_path(spark, "ingest")
+        events.where(F.col("event_id") % 2 == part).select(
+            F.col("event_type").alias("artist_alias"), F.col("user_id").cast("string").alias("follower_alias")
+        ).repartition(3).write.parquet(source)
+        ingest.ingest_edges(ingest.edge_stream(spark, source), stored, state).awaitTermination()
+    return ingest.stored_edges(spark, stored)
+
+
 # --- documents ---------------------------------------------------------------------------------
 
 
@@ -570,14 +584,18 @@ def artist_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH e AS ({_EDGES})
-    SELECT a.artist_id AS artist, b.artist_id AS other, count(*) AS common
-    FROM e a JOIN e b ON a.follower_id = b.follower_id AND a.artist_id < b.artist_id
-    GROUP BY 1, 2 ORDER BY common DESC, artist, other LIMIT 1000
+    SELECT artist, count(*) AS partners, CAST(sum(common) AS BIGINT) AS common_sum, max(common) AS most
+    FROM (SELECT a.artist_id AS artist, b.artist_id AS other, count(*) AS common
+          FROM e a JOIN e b ON a.follower_id = b.follower_id AND a.artist_id < b.artist_id GROUP BY 1, 2)
+    GROUP BY 1
 """)
 def follower_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 1000 pairs of artists with the most followers in common."""
+    """All pairs of artists with followers in common, summed up for the artist with the smaller id."""
     edges = written(S.id_edges(spark, sf_dir), "edges")
-    return overlap.common_followers(edges).orderBy(F.desc("common"), "artist", "other").limit(1000)
+    pairs = overlap.common_followers(edges)
+    return pairs.groupBy("artist").agg(
+        F.count("*").alias("partners"), F.sum("common").cast("bigint").alias("common_sum"), F.max("common").cast("bigint").alias("most")
+    )
 
 
 _OVERLAP_RANKS = f"""
@@ -604,15 +622,15 @@ _COSINES = """
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
 """
 _SIMILAR_RANKS = f"""
-    SELECT id, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, similar_id) AS rank, similar_id
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, similar_id) AS rank, similar_id, cosine
     FROM ({_COSINES}) QUALIFY rank <= 30
 """
 
 
-@query(_SIMILAR_RANKS)
+@query(f"SELECT id, rank, similar_id, round(cosine, 6) AS cosine FROM ({_SIMILAR_RANKS})")
 def topn_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity.top_similar(S.items(spark, sf_dir))
-    return found.select("id", F.col("rank").cast("bigint").alias("rank"), "similar_id")
+    return found.select("id", F.col("rank").cast("bigint").alias("rank"), "similar_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("""
@@ -691,9 +709,18 @@ def _best_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT follower_id, rank, artist_id FROM ({_PRODUCT_RANKS})")
+@query(f"SELECT follower_id, rank, artist_id, round(prediction, 6) AS prediction FROM ({_PRODUCT_RANKS})")
 def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best_products(spark, sf_dir).drop("prediction")
+    return _best_products(spark, sf_dir).withColumn("prediction", F.round("prediction", 6))
+
+
+@query(f"SELECT follower_id, rank, artist_id FROM ({_PRODUCT_RANKS})")
+def top_small_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks from factors that are 1e8 times smaller."""
+    items = S.items(spark, sf_dir).withColumn("features", F.transform("features", lambda x: x * 1e-8))
+    return tiles.best_products(items, items, 10).select(
+        F.col("row_id").alias("follower_id"), F.col("rank").cast("bigint").alias("rank"), F.col("column_id").alias("artist_id")
+    )
 
 
 @query(f"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from followgraph import fixed
 
@@ -27,11 +28,17 @@ def search_phrase(name: Column, suffix: str = fixed.SEARCH_SUFFIX) -> Column:
     return F.concat(words, F.lit(suffix))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+
 def drop_invalid_utf8(raw: Column) -> Column:
     """Text of a binary or string column without the bytes that are not UTF-8."""
     text = raw.cast("string")
-    repaired = F.regexp_replace(F.make_valid_utf8(text), "�", "")
-    return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
+    valid = F.is_valid_utf8(text)
+    # Spark's own repair puts marks that genuine ones can't be told from; only broken texts reach Python
+    return F.when(valid, text).otherwise(_decoded(F.when(~valid, raw.cast("binary"))))
 
 
 def flag_is_zero(flag: Column) -> Column:

@@ -11,8 +11,8 @@ def parse_features(text: Column) -> Column:
 
 
 def is_complete(vector: Column) -> Column:
-    """False for NULL and empty vectors and for NULL or NaN elements."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    """False for NULL and empty vectors and for NULL, NaN or infinite elements."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(~bad & (F.size(vector) > 0), F.lit(False))
 
 

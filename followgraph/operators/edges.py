@@ -39,8 +39,8 @@ def training_edges(edges: DataFrame, artists: DataFrame, followers: DataFrame) -
 def dropped_edges(edges: DataFrame, artists: DataFrame, followers: DataFrame) -> DataFrame:
     """How many edges lack an artist or a profile."""
     return (
-        edges.join(artists.select("artist_alias", F.lit(True).alias("_a")), "artist_alias", "left")
-        .join(followers.select("follower_alias", F.lit(True).alias("_f")), "follower_alias", "left")
+        edges.join(artists.select("artist_alias", F.lit(True).alias("_a")).distinct(), "artist_alias", "left")
+        .join(followers.select("follower_alias", F.lit(True).alias("_f")).distinct(), "follower_alias", "left")
         .agg(
             F.count_if(F.col("_a").isNull()).alias("without_artist"),
             F.count_if(F.col("_f").isNull()).alias("without_profile"),

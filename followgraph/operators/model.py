@@ -30,6 +30,11 @@ def als(**settings: object) -> ALS:
     )
 
 
+def _blocks(ratings: DataFrame) -> dict[str, int]:
+    blocks = max(_MIN_BLOCKS, math.ceil(ratings.count() / _EDGES_PER_BLOCK))
+    return {"numUserBlocks": blocks, "numItemBlocks": blocks}
+
+
 def fit(edges: DataFrame, **settings: object) -> ALSModel:
     """Train on ``edges``, cached during the fit only.
 
@@ -38,8 +43,7 @@ def fit(edges: DataFrame, **settings: object) -> ALSModel:
     work_folder(edges.sparkSession)  # long trainings checkpoint their factors there
     ratings = edges.select("follower_id", "artist_id", "count").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        blocks = max(_MIN_BLOCKS, math.ceil(ratings.count() / _EDGES_PER_BLOCK))
-        return als(**{"numUserBlocks": blocks, "numItemBlocks": blocks, **settings}).fit(ratings)
+        return als(**{**_blocks(ratings), **settings}).fit(ratings)
     finally:
         ratings.unpersist()
 
@@ -94,15 +98,15 @@ def grid_search(
     reg_params: Sequence[float] = tuple(fixed.GRID_REG_PARAMS),
     folds: int = 3,
     seed: int = fixed.SPLIT_SEED,
-    parallelism: int = 3,
+    parallelism: int = 1,
     **settings: object,
 ) -> CrossValidatorModel:
     """Cross-validate rank x regParam by rmse; the settings are those of ``als``."""
     work_folder(training.sparkSession)
-    estimator = als(**settings)
-    grid = ParamGridBuilder().addGrid(estimator.rank, list(ranks)).addGrid(estimator.regParam, list(reg_params)).build()
     ratings = training.select("follower_id", "artist_id", "count").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        estimator = als(**{**_blocks(ratings), **settings})
+        grid = ParamGridBuilder().addGrid(estimator.rank, list(ranks)).addGrid(estimator.regParam, list(reg_params)).build()
         return CrossValidator(
             estimator=estimator,
             estimatorParamMaps=grid,
@@ -120,6 +124,8 @@ def grid_results(search: CrossValidatorModel) -> list[dict[str, float]]:
     results = []
     for params, metric in zip(search.getEstimatorParamMaps(), search.avgMetrics):
         results.append({**{p.name: v for p, v in params.items()}, "rmse": float(metric)})
+    if any(math.isnan(r["rmse"]) for r in results):
+        raise ValueError("a setting has no rmse: a fold holds no pair with known ids")
     best = min(range(len(results)), key=lambda i: results[i]["rmse"])
     return [{**r, "best": i == best} for i, r in enumerate(results)]
 

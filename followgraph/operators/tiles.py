@@ -23,14 +23,15 @@ _SCORE_CELLS = 8_000_000  # scores held at once inside a task
 _DIGITS = 12  # equal vectors get equal scores whatever the order of the sums
 
 
-def _matrix(vectors: pa.ChunkedArray, unit: bool) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors scaled to length 1 (zero vectors stay), and their lengths."""
     flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(vectors), -1)
-    if not unit:
-        return matrix
     # Scaling by the largest element first keeps very small and very large factors in range.
-    matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
-    return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    largest = np.abs(matrix).max(axis=1, keepdims=True)
+    matrix = matrix / np.where(largest == 0, 1, largest)
+    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return matrix / np.where(length == 0, 1, length), (largest * length)[:, 0]
 
 
 def _best_per_row(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +53,14 @@ def _tile_function(n: int, unit: bool, skip_same_id: bool):
         row_ids, column_ids = left["row_id"].to_numpy(), right["column_id"].to_numpy()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(row_ids) and len(column_ids):
-            rows, columns = _matrix(left["row_vector"], unit), _matrix(right["column_vector"], unit)
+            rows, row_lengths = _matrix(left["row_vector"])
+            columns, column_lengths = _matrix(right["column_vector"])
             step = max(1, _SCORE_CELLS // len(column_ids))
             for start in range(0, len(row_ids), step):
                 ids = row_ids[start : start + step]
                 scores = np.round(rows[start : start + step] @ columns.T, _DIGITS)
+                if not unit:  # products of any size keep their digits
+                    scores *= row_lengths[start : start + step, None] * column_lengths[None, :]
                 if skip_same_id:
                     scores[ids[:, None] == column_ids[None, :]] = -np.inf
                 r, c = _best_per_row(scores, n)
@@ -87,7 +91,7 @@ def best_products(
     """(row_id, rank, column_id, score): the ``n`` columns with the highest product for each row.
 
     ``unit`` scales vectors to length 1 first, which makes the score the cosine. Equal scores (12
-    decimals) are ordered by id. Incomplete vectors take no part, and with ``unit`` neither do zero
+    decimals of the cosine) are ordered by id. Incomplete vectors take no part, and with ``unit`` neither do zero
     vectors. Both inputs have integer ids and are read twice, so they should be stored tables.
     """
 

@@ -114,4 +114,4 @@ HARVEST_LOG = columns(
 )
 
 FOLLOW = columns(artist_alias="string", follower_alias="string")
-STORED_FOLLOW = columns(artist_alias="string", follower_alias="string", batch_id="bigint", bucket="int")
+STORED_FOLLOW = columns(artist_alias="string", follower_alias="string", stream="string", batch_id="bigint", bucket="int")

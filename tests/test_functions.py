@@ -38,9 +38,9 @@ def test_search_phrase_joins_words(spark):
 
 
 def test_invalid_utf8_is_dropped(spark):
-    given = [b"caf\xc3\xa9", b"a\xffb\xc3", "kept \ufffd mark".encode(), None]
+    given = [b"caf\xc3\xa9", b"a\xffb\xc3", "a\ufffdb".encode() + b"\xff", "kept \ufffd mark".encode(), None]
     got = apply(spark, [None if g is None else bytearray(g) for g in given], names.drop_invalid_utf8, "binary")
-    assert got == ["café", "ab", "kept \ufffd mark", None]
+    assert got == ["café", "ab", "a\ufffdb", "kept \ufffd mark", None]
 
 
 def test_alias_needs_the_exact_address_form(spark):
