@@ -31,7 +31,7 @@ from followgraph.session import written
 
 WIDTH = 5
 PERCENT = 75
-_BLOCK_GRAMS = 3_000_000
+_BLOCK_GRAMS = 1_000_000
 _FRAGMENT_GRAMS = 2_000_000
 _SHARED = np.uint32(0xFFFFFFFF)  # marks a shingle of several classes of the same block
 
