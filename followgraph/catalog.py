@@ -799,6 +799,54 @@ def _trained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(E.training_edges(S.alias_edges(spark, sf_dir), *ids), "edges")
 
 
+_SPLIT = f"""
+    SELECT *, ('0x' || substr(md5('1|part-' || artist_id || '|Customer#' || lpad(CAST(follower_id AS VARCHAR), 9, '0')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 AS training
+    FROM ({_EDGES})
+"""
+
+
+@query(f"""
+    WITH s AS ({_SPLIT})
+    SELECT count(*) AS pairs, true AS falling, true AS finite FROM s
+    WHERE NOT training AND artist_id IN (SELECT artist_id FROM s WHERE training) AND follower_id IN (SELECT follower_id FROM s WHERE training)
+""")
+def als_holdout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out edges with both ends in the training part get a prediction; the order falls."""
+    found = written(als_holdout_predictions(spark, sf_dir).withColumn("at", F.monotonically_increasing_id()), "predictions")
+    earlier = found.select((F.col("at") + 1).alias("at"), F.col("prediction").alias("before"))
+    return found.join(earlier, "at", "left").agg(
+        F.count("*").alias("pairs"),
+        F.every(F.coalesce(F.col("before") >= F.col("prediction"), F.lit(True))).alias("falling"),
+        F.every(~F.isnan("prediction")).alias("finite"),
+    )
+
+
+@query(f"SELECT DISTINCT 'part-' || artist_id AS artist_alias, CAST(2 AS INT) AS factors, true AS non_negative FROM ({_EDGES})")
+def als_two_factors_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two factors for every artist with followers, none below zero."""
+    return als_two_factors(spark, sf_dir).select(
+        "artist_alias", F.size("features").alias("factors"), F.forall("features", lambda x: x >= 0).alias("non_negative")
+    )
+
+
+@query(f"""
+    SELECT count(DISTINCT follower_id) AS followers, 10 * count(DISTINCT follower_id) AS rows, true AS ranked, true AS falling FROM ({_EDGES})
+""")
+def als_top_artists_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten predictions for each follower, ranked 1 to 10 and falling."""
+    found = als_top_artists(spark, sf_dir).groupBy("follower_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "prediction"))).alias("list")
+    )
+    ranked = F.transform("list", lambda x: x["rank"].cast("int")) == F.sequence(F.lit(1), F.size("list"))
+    scores = F.transform("list", lambda x: x["prediction"])
+    return found.agg(
+        F.count("*").alias("followers"),
+        F.sum(F.size("list")).cast("bigint").alias("rows"),
+        F.every(ranked).alias("ranked"),
+        F.every(F.array_sort(scores) == F.reverse(scores)).alias("falling"),
+    )
+
+
 @query()
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean rmse of every rank x regParam, cross-validated on the training edges."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -84,8 +85,12 @@ def recommend_artists(model: ALSModel, n: int, followers: DataFrame | None = Non
 
 
 def split(edges: DataFrame, weights: Sequence[float] = tuple(fixed.SPLIT_WEIGHTS), seed: int = fixed.SPLIT_SEED) -> list[DataFrame]:
-    """Random training and test edges; ``edges`` should be a stored table, so that both parts fit together."""
-    return edges.randomSplit(list(weights), seed=seed)
+    """Parts of the edges by a hash of the pair of aliases, so that an edge is in the same part whatever else is there."""
+    key = F.concat_ws("|", F.lit(seed).cast("string"), "artist_alias", "follower_alias")
+    place = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    ends = list(itertools.accumulate(w / sum(weights) for w in weights))[:-1]
+    bounds = [0.0, *ends, 1.0]
+    return [edges.where((place >= low) & (place < high)) for low, high in zip(bounds, bounds[1:])]
 
 
 def rmse_evaluator() -> RegressionEvaluator:
