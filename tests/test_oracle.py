@@ -1,6 +1,6 @@
 """Every registered query against its SQL in DuckDB, on whole tables.
 
-TEST_SF_DIR names another scale; TEST_SLOW=1 includes the grid search.
+TEST_SF_DIR names another scale.
 """
 
 import os
@@ -15,7 +15,6 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SLOW = set() if os.environ.get("TEST_SLOW") else {"als_grid_search"}
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +50,7 @@ def test_query_equals_sql(spark, duck, name):
         )
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, name):
     assert entry.queries()[name](spark, SF_DIR).count() > 0
 
