@@ -69,10 +69,16 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_block(ids: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
-    """(payload, checkpoints) of the ids; ``symbols`` are sorted."""
-    at = np.searchsorted(symbols, ids)
-    size, code = lengths[at].astype(np.int64), codes[at].astype(np.uint64)
+def by_id(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and codes with the id as index."""
+    sizes, words = np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.int64), np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.uint64)
+    sizes[symbols], words[symbols] = lengths, codes
+    return sizes, words
+
+
+def encode_block(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
+    """(payload, checkpoints) of the ids, by the tables of ``by_id``."""
+    size, code = sizes[ids], words[ids]
     ends = np.cumsum(size)
     begins = ends - size
     word, room = begins >> 6, 64 - (begins & 63) - size
@@ -150,9 +156,10 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, keeps_spaces: bool =
     spark.createDataFrame(book, "id bigint, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, words = by_id(symbols, lengths, codes)
         for batch in batches:
             for row in batch.to_pylist():
-                payload, checkpoints = encode_block(ids_of(row["ids"], row["width"]), symbols, lengths, codes)
+                payload, checkpoints = encode_block(ids_of(row["ids"], row["width"]), sizes, words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["doc_ids"][0]], pa.int64()),
