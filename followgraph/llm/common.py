@@ -25,6 +25,14 @@ def small_side(df: DataFrame, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= 16 * _BROADCAST_ROWS else df
 
 
+def release(table: DataFrame) -> None:
+    """Delete the files of a written table once everything that reads it has been written itself."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pack(arrays: Sequence[np.ndarray]) -> bytes:
     """Arrays as one byte string: their lengths in bytes, then their bytes."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
@@ -144,6 +152,8 @@ def linked(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
 
     found = rows.groupBy("group", "i", "j").applyInPandas(tile, "node bigint, low bigint, n_links bigint")
     found = written(found, "links")
+    for table in (nodes, dealt, tiles):
+        release(table)
     return components(found, "node", "low", "linked"), found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 

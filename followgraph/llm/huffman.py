@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from followgraph.llm.common import release
 from followgraph.llm.token_table import ids_of, token_table, with_offsets
 
 END = 2
@@ -175,6 +176,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, keeps_spaces: bool =
     schema = "first_id bigint, start bigint, doc_ids array<bigint>, sizes array<bigint>, checkpoints binary, payload binary"
     blocks = with_offsets(tokens).select("doc_ids", "sizes", "width", "ids", "start").mapInArrow(encode, schema)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    release(tokens)
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

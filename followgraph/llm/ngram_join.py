@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from followgraph.llm.common import linked, pack, small_side, unpack
+from followgraph.llm.common import linked, pack, release, small_side, unpack
 from followgraph.llm.shingles import gram_sets
 from followgraph.session import written
 
@@ -64,8 +64,8 @@ def _prefix(n: int, percent: int) -> tuple[int, int]:
     return n - need + extra, max(1, need // 4)
 
 
-def _linkable_classes(docs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """(set_key): the classes whose prefix holds enough shingles of other classes."""
+def _known_shingles(docs: DataFrame, total: int, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(set_key, known): how many shingles of its prefix each class shares with others; and the written table behind it."""
     fragments = max(64, -(-total // (2 * _FRAGMENT_GRAMS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _linkable_classes(docs: DataFrame, total: int, width: int, percent: int) ->
     dealt = written(dealt, "fragments")
     partial = dealt.where("fragment >= 0").groupBy("fragment").applyInPandas(count, "set_key bigint, known bigint")
     own = dealt.where("fragment < 0").select("set_key", "known")
-    return partial.union(own).groupBy("set_key").agg(F.sum("known").alias("known"))
+    return partial.union(own).groupBy("set_key").agg(F.sum("known").alias("known")), dealt
 
 
 def _fragment_rows(block: dict[int, np.ndarray], fragments: int) -> Iterator[pa.RecordBatch]:
@@ -155,8 +155,10 @@ def _fragment_rows(block: dict[int, np.ndarray], fragments: int) -> Iterator[pa.
     )
 
 
-def _shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n, weight, grams, rare): the shingles of every class that another one has, and the rarest that are its prefix."""
+def _shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, weight, grams, rare): the shingles of every class that another one has, and the rarest that are its prefix; and
+    the written table behind it.
+    """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,14 +167,15 @@ def _shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(small_side(classes.select("node")), "node", "left_semi")
     sets = texts.mapInArrow(grams, "node bigint, grams array<bigint>").dropDuplicates(["node"])
-    elements = written(sets, "sets").select("node", F.explode("grams").alias("gram"))
+    sets = written(sets, "sets")
+    elements = sets.select("node", F.explode("grams").alias("gram"))
     frequency = elements.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = elements.join(frequency, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"))
     prefix = F.expr(f"size(order) - cast(ceil({percent} * n / 100) as bigint) + 1").cast("int")
     grams = F.array_sort(F.transform("order", lambda x: x["gram"]))
     rare = F.transform(F.slice("order", 1, F.col("prefix")), lambda x: x["gram"])
     rows = shared.join(classes, "node").withColumn("prefix", prefix).where("prefix > 0")
-    return rows.select("node", "n", "weight", grams.alias("grams"), rare.alias("rare"))
+    return rows.select("node", "n", "weight", grams.alias("grams"), rare.alias("rare")), sets
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -183,12 +186,17 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     classes = written(classes, "classes")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
-    known = _linkable_classes(docs.where("doc_id is not null"), total, width, percent)
+    known, dealt = _known_shingles(docs.where("doc_id is not null"), total, width, percent)
     enough = F.expr(f"known >= greatest(1, cast(floor(ceil({percent} * n / 100) / 4) as bigint))")
     linkable = written(classes.join(known, "set_key").where(enough).select("node", "n", "weight"), "linkable")
-    shared = written(_shared_sets(docs, linkable, width, percent), "shared")
+    release(dealt)
+    shared, own = _shared_sets(docs, linkable, width, percent)
+    shared = written(shared, "shared")
+    release(own)
     postings = written(shared.select("node", F.explode("rare").alias("gram")), "postings")
     labels, links = linked(postings, shared.drop("rare"), percent)
+    release(postings)
+    release(shared)
     joined = sets.join(classes.select("set_key", "node", "weight"), "set_key", "left").withColumn("node", F.coalesce("node", "doc_id"))
     copies = F.coalesce(F.col("weight") - 1, F.lit(0))
     return joined.join(labels, "node", "left").join(links, "node", "left").select(

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from followgraph.llm.common import linked, pack, small_side, unpack
+from followgraph.llm.common import linked, pack, release, small_side, unpack
 from followgraph.llm.shingles import gram_hashes, mixed, string_buffers, text_chunks, word_hashes
 from followgraph.session import written
 
@@ -238,9 +238,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         _colliding, "gram bigint, node bigint, doc_id bigint, n bigint"
     )
     postings = written(postings, "postings")
+    release(rows)
     nodes = written(postings.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sets = _line_sets(docs, nodes)
     labels, _ = linked(postings.select("node", "gram").distinct(), sets, PERCENT)
+    release(postings)
+    release(sets)
     members = labels.union(labels.select(F.col("component").alias("node"), "component").distinct())
     members = written(members.join(nodes, "node"), "members")
     keepers = members.groupBy("component").agg(F.min("doc_id").alias("keeper"))
@@ -249,6 +252,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     alone = repeated.join(members.select(F.col("node").alias("key")), "key", "left_anti")
     clusters = written(clusters.select("key", "cluster", "keeper").union(alone.select("key", F.col("key").alias("cluster"), "keeper")), "clusters")
+    release(repeated)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
