@@ -143,8 +143,9 @@ def _paragraph_rows(docs: DataFrame, buckets: int) -> DataFrame:
             rows += _rows_by_bucket(0, k[edges], [d[edges], d[last]], buckets)
         if bands:
             band, node, doc, n = (np.concatenate(x) for x in zip(*bands))
-            _, one = np.unique(np.stack([band, node]), axis=1, return_index=True) if len(band) else (None, [])
-            one = np.sort(one).astype(np.int64)
+            # the smallest document of each band and line, whatever the order of the rows
+            one = np.lexsort((doc, node, band))
+            one = one[np.concatenate([[True], (np.diff(band[one]) != 0) | (np.diff(node[one]) != 0)])]
             rows += _rows_by_bucket(1, band[one], [node[one], doc[one], n[one]], buckets)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"]

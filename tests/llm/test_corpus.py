@@ -126,6 +126,17 @@ def test_substring_dedup_finds_near_lines(spark):
     assert 3 not in {r["doc_id"] for r in spans}
 
 
+def test_substring_dedup_keeps_one_copy_whatever_the_order_of_rows(spark):
+    line = words_of(random.Random(6), 80)
+    near = [*line[:40], "changed", *line[41:]]
+    texts = [(12, " ".join(near)), (9, " ".join(line)), (3, " ".join(line))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    spans = substring_dedup.repeated_spans(docs).collect()
+    assert {(r["doc_id"], r["removed"], r["keep_doc_id"]) for r in spans} == {(3, False, 3), (9, True, 3), (12, True, 3)}
+    after = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(docs).collect()}
+    assert after == {3: line, 9: [], 12: []}
+
+
 @pytest.mark.parametrize("file, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_the_library(file, spaces):
     texts = ["", " ", "a  b", "\n a\n\n b.", "Don't  'tis,\nx.", "\x1c a\x85b", "é É ß İ Σας", "| a | b", "<|endoftext|> x", "tab\tb  ", "1,2. 3"]
