@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-1. Every page is parsed; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out. Each remaining
-   container is scored by its text outside of links, and the page votes for the deepest path of containers that holds most of it.
+1. Every page is parsed; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out. Content
+   are the blocks within main or article, or else all that have text outside of links, and the page votes for the deepest path of
+   containers that holds all of them.
 2. A path is generalised: tags with their classes, digits replaced, so that pages of one template share it. Votes are counted per host in Spark.
-3. Every page is parsed again and its text taken from the host's winning path; a page in which that path holds less than half of its own
-   best one is of another template and keeps its own.
+3. Every page is parsed again and its text taken from the host's winning path; a page in which that path doesn't hold all of its content
+   is of another template and keeps its own.
 
 A block is what stands between block-level tags; its white space becomes one space; blocks are joined by line breaks in page order. Nulls, empty
 pages and pages without text give an empty text. Pages without a url form one host. Truncated pages end where they end. Repeated rows
@@ -23,8 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from followgraph.llm.common import small_side
 from followgraph.session import written
 
-SHARE = 0.6  # of the page's text that a container must hold to be voted for
-
 # Names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math textarea title xmp select button canvas audio video".split())
@@ -46,6 +45,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)[^>]*+(?:>|\Z)""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_MARKED = [re.compile(rf"/{tag}(?:[./]|$)") for tag in ("main", "article")]
 _SPACE = re.compile(r"[\s​﻿]+")
 
 
@@ -147,29 +147,31 @@ def blocks_of(page: str) -> list[tuple[str, int, tuple[str, ...]]]:
     return out
 
 
-def _scores(blocks: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, int]:
-    """Text outside of links by path."""
-    scores: dict[str, int] = {}
-    for text, linked, paths in blocks:
-        for path in paths:
-            scores[path] = scores.get(path, 0) + max(0, len(text) - linked)
-    return scores
+def _content(blocks: list[tuple[str, int, tuple[str, ...]]]) -> list[tuple[str, ...]]:
+    """Containers around each block of the main content.
+
+    These are the blocks within main, else within article, where it has half of the page's text outside of links, and else all
+    blocks that aren't links only.
+    """
+    total = sum(max(0, len(text) - linked) for text, linked, _ in blocks)
+    for inside in _MARKED:
+        marked = [(max(0, len(text) - linked), paths) for text, linked, paths in blocks if inside.search(paths[-1])]
+        if marked and 2 * sum(own for own, _ in marked) >= total:
+            return [paths for _, paths in marked]
+    return [paths for text, linked, paths in blocks if len(text) > linked]
 
 
-def _best(scores: dict[str, int]) -> str | None:
-    """The deepest path that holds most of the text."""
-    total = scores.get("", 0)
-    enough = [p for p, s in scores.items() if s and s >= SHARE * total]
-    return max(enough, key=lambda p: (p.count("/"), scores[p], p)) if enough else None
+def _best(content: list[tuple[str, ...]]) -> str | None:
+    """The deepest path that holds all of the content."""
+    common = set(content[0]).intersection(*content) if content else ()
+    return max(common, key=content[0].index) if common else None
 
 
 def extract_text(page: str, host_path: str | None) -> str:
-    """The page's text within the host's path, or within its own best path where that one doesn't fit."""
+    """The page's text within the host's path, or within its own best path where that one would lose content."""
     blocks = blocks_of(page)
-    scores = _scores(blocks)
-    path = _best(scores)
-    if host_path is not None and path is not None and 2 * scores.get(host_path, 0) >= scores[path]:
-        path = host_path
+    content = _content(blocks)
+    path = host_path if content and all(host_path in paths for paths in content) else _best(content)
     return "\n".join(text for text, _, paths in blocks if path in paths)
 
 
@@ -178,7 +180,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [_best(_scores(blocks_of(p or ""))) for p in batch.column(1).to_pylist()]
+            paths = [_best(_content(blocks_of(p or ""))) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
     counts = pages.select(_host(), "html").mapInArrow(votes, "host string, path string").where("path is not null")

@@ -264,6 +264,25 @@ def test_html_extraction(spark):
         assert texts[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
+def test_html_extraction_keeps_the_whole_article(spark):
+    long, short = "long body text " * 20, "shorter section text " * 12
+    flat = f"<body><article><div class=body><p>{long}</p></div></article></body>"
+    pages = {
+        1: (f"<body><article><h1>T</h1><p>{short}</p><div class=body><p>{long}</p></div></article></body>", f"T\n{short}\n{long}"),
+        2: (f"<body><article><div class=a>{long}</div><div class=b>{short}</div></article></body>", f"{long}\n{short}"),
+        3: (f"<body><div class=nav>Menu</div><div><p>{short}</p><div class=body>{long}</div></div></body>", f"{short}\n{long}"),
+        4: (f"<body><p>Site name</p><main><a href=x>Link</a><article>{long}</article><p>{short}</p></main></body>", f"Link\n{long}\n{short}"),
+        5: (f"<body><div class=post>{long}</div><article>A card</article></body>", f"{long}\nA card"),
+        6: (f"<body><p>Site name</p><article><p>{short}</p><a href=x>Link</a></article></body>", f"{short}\nLink"),
+    }
+    rows = [(k, "https://x.org/a", p) for k, (p, _) in pages.items()] + [(k, "https://x.org/b", flat) for k in range(10, 20)]
+    rows += [(100 + k, f"https://h{k}.org/a", p) for k, (p, _) in pages.items()]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k, (_, want) in pages.items():
+        assert got[k] == got[100 + k] == re.sub(" *(\n|$)", r"\1", want)
+    assert got[10] == long.strip()
+
+
 def test_quality_on_labels_it_has_not_seen(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
