@@ -229,6 +229,22 @@ def test_language_id_on_held_out_documents(spark):
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in language_id.predict(odd, model).collect()} == {("und", 0.0, True)}
 
 
+def test_language_id_rejects_what_has_letters_but_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, ~language_id.held_out())
+    clean = docs.where(language_id.held_out()).where("length(text) >= 200").select("doc_id", "text")
+    rng = random.Random(8)
+    texts = [r["text"] for r in clean.orderBy("doc_id").collect()]
+    gibberish = [re.sub("[^\\W\\d_]", lambda _: rng.choice("abcdefghijklmnopqrstuvwxyz"), t) for t in texts]
+    rows = [*enumerate(gibberish), (-1, "Съешь же ещё этих мягких французских булок, да выпей чаю"), (-2, "xqzw vkjq zzxw qqkv wxzj pqzk")]
+    wrong = language_id.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    kept = language_id.predict(clean, model).where("not rejected").count()
+    assert kept >= 0.98 * len(texts) and np.mean([r["rejected"] for r in wrong]) > 0.95
+    assert all(r["rejected"] for r in wrong if r["doc_id"] < 0)
+    few = language_id.train(docs.where("doc_id < 12"), F.lit(True))
+    assert max(few.thresholds) > 1 / len(few.languages)  # calibrated on few documents, too
+
+
 def test_license_phrases_equal_brute_force(spark):
     texts = {1: "MIT License. mit\nlicense", 2: "the mit licenses", 3: None, 4: "Apache-License GNU General Public License v3", 5: "émit license"}
     texts[6] = "x " * 5000 + license_scan.TEMPLATES["mit-text"].replace("[[", "").replace("]]", "").upper()
