@@ -2,14 +2,14 @@
 
 Paragraphs are of two kinds, both of at least ``MIN_WORDS`` words:
 
-* lines of the text. Lines that collide in a MinHash band are verified by exact Jaccard similarity of their word shingles, and
+* lines of the text, and shorter lines joined to the lines after them until they have as many words (``_joined``). Lines that collide in a MinHash band are verified by exact Jaccard similarity of their word shingles, and
   linked lines form clusters (components).
 * windows of ``MIN_WORDS`` words that begin at anchors. An anchor is a shingle with the smallest hash among ``ANCHOR`` consecutive
   ones, so it depends on the words around it only: a passage of ``MIN_WORDS + ANCHOR`` words that stands in several documents, wherever
   it begins and whatever surrounds it, has the same window in all of them. Equal windows form a cluster.
 
 The document with the smallest id keeps a cluster's passage; in the others it is removed. A cluster within one document is left alone.
-Overlapping spans are merged. Words up to ``ANCHOR`` at either end of a passage may stay.
+Overlapping spans are merged. A near block is removed whole, with the few words in which it differs. Words up to ``ANCHOR`` at either end of a passage may stay.
 
 Nulls and empty texts have no paragraphs; rows without ``doc_id`` are kept as they are; rows with the same ``doc_id`` count as one
 document and lose the same words. Extra columns are passed through.
@@ -34,6 +34,7 @@ MIN_WORDS = 32
 ANCHOR = 18
 BANDS = 5  # of two rows each: a pair at the threshold collides with probability 1 - (1 - 0.75**2)**5 = 0.984
 _ROWS = 2
+_APART = 9  # words between the beginnings of blocks: 27 common shingles of 37 are below PERCENT
 _BLOCK_ENTRIES = 1_000_000
 _BUCKETS = 64
 _ODD = mixed(np.arange(1, BANDS * _ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -49,16 +50,44 @@ class _Chunk:
         self._offsets = offsets
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word, words and key of each long line."""
+        """Text, first word, words and key of each long line and of each block of joined lines."""
         begin, end = self._offsets[0], self._offsets[-1]
         breaks = np.flatnonzero(self._data[begin:end] == 10) + begin
         cuts = np.unique(np.concatenate([self.firsts, np.searchsorted(self.places, breaks)]))
         sizes = np.diff(cuts)
-        starts = cuts[:-1][sizes >= MIN_WORDS]
-        sizes = sizes[sizes >= MIN_WORDS]
+        first, end = self._joined(cuts)
+        starts = np.concatenate([cuts[:-1][sizes >= MIN_WORDS], first])
+        sizes = np.concatenate([sizes[sizes >= MIN_WORDS], end - first])
         texts = np.searchsorted(self.firsts, starts, "right") - 1
         return texts, starts, sizes, self._keys(starts, sizes)
 
+    def _joined(self, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of blocks that begin with a short line, from the beginnings and ends of all lines.
+
+        A block takes whole lines until it has ``MIN_WORDS`` words, of a long line only so many. Where lines begin close to each other
+        only the one with the smallest hash begins a block, and of blocks with the same end the shortest stays, so that blocks depend on
+        the words in and around them only, and two blocks that overlap in a text are never similar enough to be linked.
+        """
+        begins, ends = cuts[:-1], cuts[1:]
+        first = begins[ends - begins < MIN_WORDS]
+        text = np.searchsorted(self.firsts, first, "right") - 1
+        fits = first + MIN_WORDS <= self.firsts[text + 1]
+        first, text = first[fits], text[fits]
+        if not len(first):
+            return first, first
+        code = self.grams[self.edges[text] + first - self.firsts[text]]
+        least = np.ones(len(first), dtype=bool)
+        for k in range(1, min(_APART, len(first))):
+            near = (first[k:] - first[:-k] < _APART) & (text[k:] == text[:-k])
+            after = code[k:] < code[:-k]
+            least[:-k] &= ~(near & after)
+            least[k:] &= ~near | after
+        first = first[least]
+        last = np.searchsorted(ends, first + MIN_WORDS)
+        end = np.minimum(ends[last], begins[last] + MIN_WORDS)
+        shortest = np.append(end[1:] != end[:-1], True)
+        return first[shortest], end[shortest]
+
     def _keys(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """A hash of the words of each span."""
         if not len(starts):

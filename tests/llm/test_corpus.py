@@ -126,6 +126,24 @@ def test_substring_dedup_finds_near_lines(spark):
     assert 3 not in {r["doc_id"] for r in spans}
 
 
+def test_substring_dedup_finds_near_passages_in_short_lines(spark):
+    rng = random.Random(9)
+    two, tiny = words_of(rng, 60), words_of(rng, 80)
+    near = [*two[:29], "changed", *two[30:]]  # 29 and 30 equal words, too few for a window
+    lines = lambda w, n: [" ".join(w[i : i + n]) for i in range(0, len(w), n)]
+    own = [words_of(rng, n) for n in (12, 7, 20, 40, 9, 30)]
+    texts = [(5, [" ".join(own[0]), *lines(near, 30), " ".join(own[1])]), (2, [" ".join(own[2]), *lines(two, 30), " ".join(own[3])])]
+    # a list of single words of which the other document has a part
+    texts += [(7, [*own[4], *tiny]), (8, [*own[5], *tiny[20:70], *own[3][::-1]])]
+    docs = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts], "doc_id bigint, text string").coalesce(1)
+    spans = {(r["doc_id"], r["start"], r["length"], r["removed"]) for r in substring_dedup.repeated_spans(docs).collect()}
+    assert (5, 12, 60, True) in spans and (2, 20, 60, False) in spans
+    after = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(docs).collect()}
+    assert after[5] == [*own[0], *own[1]] and after[2] == [*own[2], *two, *own[3]]
+    # near blocks reach a few words beyond the common part, and no further
+    assert after[7] == [*own[4], *tiny] and len((set(own[5]) | set(own[3])) - set(after[8])) <= 8
+
+
 def test_substring_dedup_keeps_one_copy_whatever_the_order_of_rows(spark):
     line = words_of(random.Random(6), 80)
     near = [*line[:40], "changed", *line[41:]]
