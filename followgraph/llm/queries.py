@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from followgraph.llm import bit_sliced, decontaminate, html_extract, huffman, language_id, license_scan, ngram_join, packing, quality, substring_dedup
+from followgraph.llm import bit_sliced, boundary_bpe, decontaminate, html_extract, huffman, language_id, license_scan, ngram_join, packing, quality
+from followgraph.llm import spelling, substring_dedup, whitening
 from followgraph.llm.common import table
 from followgraph.session import new_path
 
@@ -139,6 +140,61 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's first 32 whitened components, with the measured error of the whitening."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its usual form and the root that forms lead to."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM documents),
+counted AS (SELECT doc_id, r, count(*) AS n FROM runs GROUP BY ALL),
+crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS b(i)),
+bytes AS (
+  SELECT doc_id, r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS h FROM counted),
+coded AS (
+  SELECT r, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS code
+  FROM bytes, crc_table),
+damaged AS (
+  SELECT CASE WHEN code % 97 = 0 THEN substr(r, 1, CAST(code % length(r) AS BIGINT)) || substr(r, CAST(code % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM coded),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM shorter x JOIN shorter y ON x.s = y.s AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM shorter x JOIN words y ON x.s = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM shorter x JOIN words y ON x.s = y.word),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chains AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON c.word = f.word AND c.next IS NULL
+"""
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    ids = boundary_bpe.encode(table(spark, sf_dir, "documents"), tokenizer)
+    ids = ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    texts = boundary_bpe.decode(ids, tokenizer)
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -150,10 +206,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op4_exact_top_k": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
