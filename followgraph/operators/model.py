@@ -5,16 +5,19 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from followgraph import fixed
+from followgraph.operators import evaluation
 from followgraph.operators.tiles import best_products
-from followgraph.session import work_folder
+from followgraph.session import work_folder, written
 
 _EDGES_PER_BLOCK = 5_000_000
 _MIN_BLOCKS = 10
@@ -84,15 +87,25 @@ def recommend_artists(model: ALSModel, n: int, followers: DataFrame | None = Non
     )
 
 
+def pair_place(seed: int = fixed.SPLIT_SEED) -> Column:
+    """A number from 0 up to 1 for each pair of aliases: that of an edge is the same whatever other edges there are."""
+    key = F.concat_ws("|", F.lit(seed).cast("string"), "artist_alias", "follower_alias")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
 def split(edges: DataFrame, weights: Sequence[float] = tuple(fixed.SPLIT_WEIGHTS), seed: int = fixed.SPLIT_SEED) -> list[DataFrame]:
     """Parts of the edges by a hash of the pair of aliases, so that an edge is in the same part whatever else is there."""
-    key = F.concat_ws("|", F.lit(seed).cast("string"), "artist_alias", "follower_alias")
-    place = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    place = pair_place(seed)
     ends = list(itertools.accumulate(w / sum(weights) for w in weights))[:-1]
     bounds = [0.0, *ends, 1.0]
     return [edges.where((place >= low) & (place < high)) for low, high in zip(bounds, bounds[1:])]
 
 
+def with_fold(edges: DataFrame, folds: int, seed: int = fixed.SPLIT_SEED) -> DataFrame:
+    """``edges`` with an integer ``fold`` from 0, by the same hash: a repeated search compares the same folds."""
+    return edges.withColumn("fold", F.floor(pair_place(seed) * folds).cast("int"))
+
+
 def rmse_evaluator() -> RegressionEvaluator:
     return RegressionEvaluator(metricName="rmse", labelCol="count", predictionCol="prediction")
 
@@ -104,11 +117,16 @@ def grid_search(
     folds: int = 3,
     seed: int = fixed.SPLIT_SEED,
     parallelism: int = 1,
+    fold_column: str | None = None,
     **settings: object,
 ) -> CrossValidatorModel:
-    """Cross-validate rank x regParam by rmse; the settings are those of ``als``."""
+    """Cross-validate rank x regParam by rmse; the settings are those of ``als``.
+
+    ``fold_column`` names the folds that the edges come with (``with_fold``); without it they are drawn at random.
+    """
     work_folder(training.sparkSession)
-    ratings = training.select("follower_id", "artist_id", "count").persist(StorageLevel.MEMORY_AND_DISK)
+    own = [fold_column] if fold_column else []
+    ratings = training.select("follower_id", "artist_id", "count", *own).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         estimator = als(**{**_blocks(ratings), **settings})
         grid = ParamGridBuilder().addGrid(estimator.rank, list(ranks)).addGrid(estimator.regParam, list(reg_params)).build()
@@ -119,6 +137,7 @@ def grid_search(
             numFolds=folds,
             seed=seed,
             parallelism=parallelism,
+            foldCol=fold_column or "",
         ).fit(ratings)
     finally:
         ratings.unpersist()
@@ -139,3 +158,86 @@ def best_parameters(search: CrossValidatorModel) -> dict[str, float]:
     """Rank and regParam of the winning setting."""
     winner = next(r for r in grid_results(search) if r["best"])
     return {"rank": winner["rank"], "regParam": winner["regParam"]}
+
+
+@dataclass(frozen=True)
+class RankedSetting:
+    """Mean ranking metrics of one grid setting over all folds."""
+
+    rank: int
+    regParam: float
+    folds: int
+    followers: int
+    precision: float
+    recall: float
+    ndcg: float
+    average_precision: float
+    best: bool = False
+
+
+def ranked_search(
+    edges: DataFrame,
+    n: int,
+    folds: int = 3,
+    ranks: Sequence[int] = tuple(fixed.GRID_RANKS),
+    reg_params: Sequence[float] = tuple(fixed.GRID_REG_PARAMS),
+    metric: str = "ndcg",
+    **settings: object,
+) -> list[RankedSetting]:
+    """Every rank x regParam by how well its ``n`` recommendations meet held-out edges; the best by ``metric`` (ties: the first) is marked.
+
+    ``edges`` (with aliases, as from ``training_edges``) is cut into folds by ``with_fold``. A follower's known edges of the other folds are no
+    answer to the question, so its list is made long enough to do without them: products are asked for ``n`` and the follower's known artists, bounded by
+    the widest follower. Each fold is trained apart, one after the other, and only means come to the driver.
+    """
+    work_folder(edges.sparkSession)
+    cut = written(with_fold(edges, folds).select("follower_id", "artist_id", "count", "fold"), "folds")
+    found: dict[tuple[int, float], list] = {}
+    for fold in range(folds):
+        known, held = cut.where(F.col("fold") != fold), cut.where(F.col("fold") == fold)
+        blocks, classes = _blocks(known), follower_classes(known)
+        for rank, reg in itertools.product(ranks, reg_params):
+            fitted = fit(known, **{**blocks, **settings, "rank": rank, "regParam": reg})
+            wanted = evaluation.ranking_metrics(recommend_unknown(fitted, known, n, classes), known_ends(fitted, held), n)
+            found.setdefault((rank, reg), []).append(evaluation.mean_metrics(wanted).head())
+    results = []
+    for (rank, reg), rows in found.items():
+        followers = sum(r["followers"] for r in rows)
+        mean = lambda c: sum(r["followers"] * (r[c] or 0.0) for r in rows) / max(1, followers)  # noqa: B023, E731
+        metrics = {c: mean(c) for c in ("precision", "recall", "ndcg", "average_precision")}
+        results.append(RankedSetting(rank, reg, len(rows), followers, **metrics))
+    top = max(range(len(results)), key=lambda i: getattr(results[i], metric))
+    return [replace(r, best=i == top) for i, r in enumerate(results)]
+
+
+def known_ends(model: ALSModel, edges: DataFrame) -> DataFrame:
+    """The edges whose follower and artist both have factors."""
+    users = model.userFactors.select(F.col("id").alias("follower_id"))
+    items = model.itemFactors.select(F.col("id").alias("artist_id"))
+    return edges.join(users, "follower_id", "left_semi").join(items, "artist_id", "left_semi")
+
+
+def follower_classes(known: DataFrame) -> DataFrame:
+    """(follower_id, class): the power of eight that the artists a follower follows fit in, as a written table."""
+    edges = known.select("follower_id", "artist_id").distinct()
+    classes = edges.groupBy("follower_id").agg(F.ceil(F.log2(F.count("*")) / 3).cast("int").alias("class"))
+    return written(classes, "follower-classes")
+
+
+def recommend_unknown(model: ALSModel, known: DataFrame, n: int, classes: DataFrame | None = None) -> DataFrame:
+    """(follower_id, rank, artist_id, prediction): the ``n`` best artists of every follower that it doesn't follow yet.
+
+    Each class of followers is asked for as many artists more as its followers follow: a few followers of very many artists don't make
+    everybody's list longer. ``classes`` are those of ``follower_classes``, for several models of the same edges.
+    """
+    classes = classes or follower_classes(known)
+    lists = []
+    for row in classes.select("class").distinct().collect():  # a third of the bits of a number of artists
+        asked = classes.where(F.col("class") == row["class"])
+        lists.append(recommend_artists(model, n + (1 << 3 * row["class"]), asked))
+    if not lists:
+        return recommend_artists(model, n).limit(0)
+    edges = known.select("follower_id", "artist_id").distinct()
+    rows = reduce(DataFrame.unionByName, lists).join(edges, ["follower_id", "artist_id"], "left_anti")
+    order = Window.partitionBy("follower_id").orderBy("rank")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -1,10 +1,12 @@
 """Factors of planted groups, tuning, prediction, answers."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from followgraph.operators import lookup, model as M, overlap, similarity
+from followgraph.operators import evaluation, lookup, model as M, overlap, similarity
 from followgraph.operators.evaluation import overlap_share, top_n_error
 from followgraph.plans import training
 from followgraph.session import written
@@ -158,3 +160,45 @@ def test_two_factor_variant(trained):
 def test_written_tables_go_to_the_named_folder(spark):
     table = written(spark.range(3).toDF("id"), "probe")
     assert spark.conf.get("spark.checkpoint.dir") in table.inputFiles()[0]
+
+
+def test_ranking_metrics_by_hand(spark):
+    recommended = [(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10), (3, 1, 10), (1, 4, 13)]
+    relevant = [(1, 11), (1, 12), (1, 12), (1, 99), (1, 13), (2, 10), (4, 10), (None, 10), (5, None)]
+    rows = evaluation.ranking_metrics(
+        spark.createDataFrame(recommended, "follower_id int, rank int, artist_id int"),
+        spark.createDataFrame(relevant, "follower_id int, artist_id int"),
+        3,
+    )
+    got = {r["follower_id"]: r for r in rows.collect()}
+    assert set(got) == {1, 2, 4}
+    gain = lambda *ranks: sum(1 / math.log2(r + 1) for r in ranks)
+    assert (got[1]["relevant"], got[1]["hits"]) == (4, 2)
+    assert got[1]["precision"] == pytest.approx(2 / 3) and got[1]["recall"] == pytest.approx(1 / 2)
+    assert got[1]["ndcg"] == pytest.approx(gain(2, 3) / gain(1, 2, 3))
+    assert got[1]["average_precision"] == pytest.approx((1 / 2 + 2 / 3) / 3)
+    assert got[2]["ndcg"] == got[2]["average_precision"] == got[2]["recall"] == 1 and got[2]["precision"] == pytest.approx(1 / 3)
+    assert (got[4]["hits"], got[4]["ndcg"], got[4]["average_precision"]) == (0, 0, 0)
+    mean = evaluation.mean_metrics(rows).head()
+    assert mean["followers"] == 3 and mean["recall"] == pytest.approx(0.5)
+    assert evaluation.mean_metrics(rows.limit(0)).head()["followers"] == 0
+
+
+def test_ranked_search_prefers_what_ranks_better(spark):
+    edges = [(f"a{a}", f"f{f}", a, f, 1) for a in range(12) for f in range(30) if a % 3 == f % 3]
+    edges = spark.createDataFrame(edges, "artist_alias string, follower_alias string, artist_id int, follower_id int, count int")
+    folds = {r["fold"] for r in M.with_fold(edges, 3).select("fold").distinct().collect()}
+    assert folds == {0, 1, 2}
+    results = M.ranked_search(edges, 3, folds=2, ranks=(1, 4), reg_params=(0.01,))
+    assert sum(r.best for r in results) == 1 and next(r for r in results if r.best).ndcg == max(r.ndcg for r in results)
+    assert next(r for r in results if r.best).rank == 4 and max(r.ndcg for r in results) > 0.8
+
+
+def test_known_artists_are_not_recommended(spark):
+    edges = [(a, f, 1) for a in range(20) for f in range(9) if f == 0 and a < 15 or (a + f) % 4 == 0]
+    known = spark.createDataFrame(edges, "artist_id int, follower_id int, count int")
+    rows = M.recommend_unknown(M.fit(known, rank=3), known, 5).collect()
+    assert not {(r["artist_id"], r["follower_id"]) for r in rows} & {(a, f) for a, f, _ in edges}
+    lists = {f: sorted(r["rank"] for r in rows if r["follower_id"] == f) for f in range(9)}
+    left = len({a for a, _, _ in edges}) - sum(f == 0 for _, f, _ in edges)
+    assert lists[0] == list(range(1, min(5, left) + 1)) and all(lists[f] == [1, 2, 3, 4, 5] for f in range(1, 9))
