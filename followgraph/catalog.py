@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from followgraph import fixed
 from followgraph.functions import links, names
@@ -786,12 +786,17 @@ def als_top_n_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.top_n_error(model.recommend_artists(trained.model, 10), trained.edges)
 
 
+def _holdout(spark: SparkSession, sf_dir: str) -> tuple[model.ALSModel, DataFrame]:
+    """Factors of four fifths of the edges, and the predictions for the rest."""
+    train_part, test_part = model.split(_trained_edges(spark, sf_dir))
+    fitted = model.fit(train_part)
+    return fitted, model.predict(fitted, test_part)
+
+
 @query()
 def als_holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions for the held-out fifth of the edges, from factors of the rest."""
-    edges = _trained_edges(spark, sf_dir)
-    train_part, test_part = model.split(edges)
-    return model.predict(model.fit(train_part), test_part)
+    return _holdout(spark, sf_dir)[1]
 
 
 def _trained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -807,18 +812,33 @@ _SPLIT = f"""
 
 @query(f"""
     WITH s AS ({_SPLIT})
-    SELECT count(*) AS pairs, true AS falling, true AS finite FROM s
+    SELECT count(*) AS pairs, true AS falling, true AS finite, true AS products FROM s
     WHERE NOT training AND artist_id IN (SELECT artist_id FROM s WHERE training) AND follower_id IN (SELECT follower_id FROM s WHERE training)
 """)
 def als_holdout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out edges with both ends in the training part get a prediction; the order falls."""
-    found = written(als_holdout_predictions(spark, sf_dir).withColumn("at", F.monotonically_increasing_id()), "predictions")
-    earlier = found.select((F.col("at") + 1).alias("at"), F.col("prediction").alias("before"))
-    return found.join(earlier, "at", "left").agg(
+    """Held-out edges with both ends in the training part get a prediction, the product of their factors; the order falls."""
+    fitted, predictions = _holdout(spark, sf_dir)
+    found = written(predictions.withColumn("at", F.monotonically_increasing_id()), "predictions")
+    inside = found.select((F.col("at") + 1).alias("at"), F.col("prediction").alias("before"))
+    rows = found.join(inside, "at", "left").withColumn("falls", F.coalesce(F.col("before") >= F.col("prediction"), F.lit(True)))
+    # partitions follow each other: the first of one is not above the last of the one before
+    ends = found.groupBy(F.shiftright("at", 33).alias("part")).agg(F.max("prediction").alias("first"), F.min("prediction").alias("last"))
+    borders = ends.withColumn("before", F.lag("last").over(Window.orderBy("part")))  # one row a partition
+    follows = borders.agg(F.every(F.coalesce(F.col("before") >= F.col("first"), F.lit(True))).alias("follows"))
+    users = fitted.userFactors.select(F.col("id").alias("follower_id"), F.col("features").alias("u"))
+    items = fitted.itemFactors.select(F.col("id").alias("artist_id"), F.col("features").alias("i"))
+    terms = F.zip_with("u", "i", lambda a, b: a.cast("double") * b.cast("double"))
+    product = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+    rows = rows.join(users, "follower_id").join(items, "artist_id")
+    equal = F.abs(product - F.col("prediction")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    totals = rows.agg(
         F.count("*").alias("pairs"),
-        F.every(F.coalesce(F.col("before") >= F.col("prediction"), F.lit(True))).alias("falling"),
+        F.every("falls").alias("falling"),
         F.every(~F.isnan("prediction")).alias("finite"),
+        F.every(equal).alias("products"),
     )
+    both = totals.withColumn("k", F.lit(1)).join(follows.withColumn("k", F.lit(1)), "k")  # one row each
+    return both.select("pairs", (F.col("falling") & F.col("follows")).alias("falling"), "finite", "products")
 
 
 @query(f"SELECT DISTINCT 'part-' || artist_id AS artist_alias, CAST(2 AS INT) AS factors, true AS non_negative FROM ({_EDGES})")
@@ -851,7 +871,7 @@ def als_top_artists_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean rmse of every rank x regParam, cross-validated on the training edges."""
     train_part, _ = model.split(_trained_edges(spark, sf_dir))
-    results = model.grid_results(model.grid_search(train_part, parallelism=8))
+    results = model.grid_results(model.grid_search(train_part))
     return spark.createDataFrame(results, "rank INT, regParam DOUBLE, rmse DOUBLE, best BOOLEAN")
 
 

@@ -65,3 +65,25 @@ def harvest_completeness(log: DataFrame) -> DataFrame:
             F.col("last.error").isNotNull().alias("failed"),
         )
     )
+
+
+def activity_sketches(edges: DataFrame, artist: str = "artist_alias", follower: str = "follower_alias", precision: int = 16) -> DataFrame:
+    """One row of HyperLogLog sketches of a batch of edges, repeats included: of the edges, the followers and the artists.
+
+    Sketches of batches are kept beside the batches and merged by ``merged_activity``, whatever edges several batches share, so a
+    report needs no stored edge. With a precision of 16 each takes 64 KB at most and is off by about 0.4 per cent.
+    """
+    pair = F.xxhash64(artist, follower)
+    whole = edges.where(F.col(artist).isNotNull() & F.col(follower).isNotNull())
+    return whole.agg(
+        F.hll_sketch_agg(pair, precision).alias("edges"),
+        F.hll_sketch_agg(F.xxhash64(follower), precision).alias("followers"),
+        F.hll_sketch_agg(F.xxhash64(artist), precision).alias("artists"),
+    )
+
+
+def merged_activity(sketches: DataFrame) -> DataFrame:
+    """One row: about how many edges, followers and artists all batches have together, and the matrix density."""
+    counts = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("edges", "followers", "artists")]
+    cells = F.col("followers").cast("double") * F.col("artists")
+    return sketches.agg(*counts).withColumn("density", F.try_divide(F.col("edges"), cells))

@@ -76,10 +76,11 @@ def recommend_artists(model: ALSModel, n: int, followers: DataFrame | None = Non
     """(follower_id, rank, artist_id, prediction): the ``n`` highest predictions per follower, or per
     follower of the given ``follower_id`` table; equal predictions are ordered by artist.
     """
-    users = model.userFactors
+    # written once each: the tiles read both sides several times, and a lost executor would mean training again
+    users = written(model.userFactors, "user-factors")
     if followers is not None:
         users = users.join(followers.select(F.col("follower_id").alias("id")).distinct(), "id", "left_semi")
-    return best_products(users, model.itemFactors, n).select(
+    return best_products(users, written(model.itemFactors, "item-factors"), n).select(
         F.col("row_id").cast("int").alias("follower_id"),
         "rank",
         F.col("column_id").cast("int").alias("artist_id"),

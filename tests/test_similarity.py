@@ -89,8 +89,13 @@ def _overlaps(edges):
     return common
 
 
-@pytest.mark.parametrize("block_artists, shard_rows", [(4096, 4_000_000), (9, 4_000_000), (9, 60), (100, 50)])
-def test_common_followers_equal_brute_force(spark, block_artists, shard_rows):
+@pytest.mark.parametrize(
+    "block_artists, shard_rows, tail, light",
+    [(4096, 4_000_000, 8, 32), (9, 4_000_000, 0, 32), (9, 60, 0, 32), (100, 50, 8, 32), (5, 4_000_000, 12, 32), (5, 60, 12, 3), (7, 4_000_000, 10**6, 5)],
+)
+def test_common_followers_equal_brute_force(spark, monkeypatch, block_artists, shard_rows, tail, light):
+    monkeypatch.setattr(overlap, "_TAIL_FOLLOWERS", tail)
+    monkeypatch.setattr(overlap, "_LIGHT", light)
     edges = _skewed_edges()
     table = spark.createDataFrame(edges, "artist_id INT, follower_id INT")
     common = _overlaps(edges)
