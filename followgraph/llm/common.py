@@ -52,21 +52,19 @@ def unpack(data: bytes, dtypes: Sequence[str]) -> list[np.ndarray]:
 def components(edges: DataFrame, left: str, right: str, label: str = "links") -> DataFrame:
     """(node, component): every node of the edges that isn't the smallest of its component, with that smallest node.
 
-    Alternating star contraction. Each round writes the edges to the shared folder, so a lost executor repeats one
-    round only; the rounds grow with the logarithm of the longest path, and no neighbour list is collected.
+    Alternating star contraction, until every node has one edge, to the root of its star. Each round writes the edges to the shared folder, so a
+    lost executor repeats one round only; the rounds grow with the logarithm of the longest path, and no neighbour list is collected.
     """
     edges = edges.where(F.col(left) != F.col(right)).select(
         F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")
     )
     edges = written(edges.distinct(), label)
-    before = _fingerprint(edges)
-    while before[0]:
+    while not _stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         larger = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .unionByName(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-            .distinct()
         )
         least = larger.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = larger.join(least, "hi")
@@ -74,21 +72,23 @@ def components(edges: DataFrame, left: str, right: str, label: str = "links") ->
             pairs.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         )
         edges = written(smaller.distinct(), label)
-        after = _fingerprint(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    digest = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), digest).head())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges to smaller ones, or edges to smaller and to larger ones."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("lo", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
 _TILE_NODES = 256
 _TILE_GRAMS = 1 << 18
 _FRAGMENT = 4096
+_BATCH_GRAMS = 1 << 21  # elements of the small groups that are verified together
+_FEW = 24  # sets of a group up to which pairs are counted from sorted elements instead of a matrix
+
+_LINKS = "node bigint, low bigint, n_links bigint"
 
 
 def linked(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -97,10 +97,10 @@ def linked(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
     ``postings`` (node, gram) says which nodes share which key, ``sets`` (node, n, weight, grams) has their sizes, weights and, in
     ascending order, the elements that any other set may have. ``n_links`` sums the weights of the linked nodes.
 
-    Nodes that share keys, directly or not, form a candidate group. A group is dealt to blocks of bounded size, and each pair of blocks
-    with a common key is one tile. Inside a tile the elements are cut into fragments; the partial overlaps
-    of a fragment are one matrix product, and their sum per pair decides. Pairs never become rows: a tile returns a forest of
-    its links and the links per node.
+    Nodes that share keys, directly or not, form a candidate group. Groups that fit in one block are verified many at a time, and their components are
+    known there. A larger group is dealt to blocks of bounded size, and each pair of blocks with a common key is one tile. Inside a tile the
+    elements are cut into fragments; the partial overlaps of a fragment are one matrix product, and their sum per pair decides. Pairs never
+    become rows: a tile returns a forest of its links and the links per node.
     """
     first = postings.groupBy("gram").agg(F.min("node").alias("b"))
     groups = components(postings.join(first, "gram").select("node", "b"), "node", "b", "groups")
@@ -108,53 +108,112 @@ def linked(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
     nodes = written(nodes.select("node", "size", F.coalesce("component", "node").alias("group")), "group-nodes")
     weighty = nodes.groupBy("group").agg(F.count("*").alias("members"), F.sum("size").alias("size")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / _TILE_NODES), F.ceil(F.col("size") / _TILE_GRAMS)).cast("int")
-    dealt = nodes.join(weighty.select("group", blocks.alias("blocks")), "group")
-    dealt = written(dealt.select("node", "group", F.expr("pmod(xxhash64(node), blocks)").cast("int").alias("block")), "blocks")
-    by_gram = postings.join(dealt, "node").groupBy("gram", "group").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    weighty = written(weighty.select("group", blocks.alias("blocks")), "group-blocks")
+    dealt = nodes.join(small_side(weighty), "group")
+    block = F.expr("pmod(xxhash64(node), blocks)").cast("int").alias("block")
+    dealt = written(dealt.select("node", "group", "size", "blocks", block), "blocks")
+
+    whole = dealt.where("blocks = 1")
+    entries = whole.agg(F.sum("size")).head()[0] or 0
+    batches = max(1, -(-entries // _BATCH_GRAMS))
+    whole = whole.select("node", "group", F.expr(f"pmod(xxhash64(group), {batches})").alias("batch"))
+    found_whole = whole.join(sets, "node").groupBy("batch").applyInPandas(lambda rows: _groups_links(rows, percent), _LINKS)
+    found_whole = written(found_whole, "links")
+
+    large = dealt.where("blocks > 1").drop("size", "blocks")
+    by_gram = postings.join(large, "node").groupBy("gram", "group").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     pairs = F.expr("flatten(transform(blocks, i -> transform(filter(blocks, j -> j >= i), j -> struct(i as i, j as j))))")
     tiles = by_gram.select("group", "blocks").distinct().select("group", F.explode(pairs).alias("t")).select("group", "t.i", "t.j")
     tiles = written(tiles.distinct(), "tiles")
     sides = tiles.select("group", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
         tiles.where("i < j").select("group", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
     )
-    rows = sides.join(dealt, ["group", "block"]).select("group", "i", "j", "side", "node").join(sets, "node")
+    rows = sides.join(large, ["group", "block"]).select("group", "i", "j", "side", "node").join(sets, "node")
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["side"] == 0].reset_index(drop=True)
-        other = rows[rows["side"] == 1].reset_index(drop=True)
-        same = not len(other)
-        if same:
-            other = own
-        common = _overlaps(own["grams"], own["grams"] if same else other["grams"])
-        sizes = own["n"].to_numpy()[:, None] + other["n"].to_numpy()[None, :]
-        links = 100 * common >= percent * (sizes - common)
-        if same:
-            np.fill_diagonal(links, False)
-        a, b = own["node"].to_numpy(), other["node"].to_numpy()
-        counts = [(a, links @ other["weight"].to_numpy())] + ([] if same else [(b, links.T @ own["weight"].to_numpy())])
-        # smallest linked node, again and again, until nothing changes
-        least_a, least_b = a.copy(), b.copy()
-        while True:
-            top = np.iinfo(np.int64).max
-            new_a = np.minimum(least_a, np.where(links, least_b[None, :], top).min(axis=1))
-            new_b = np.minimum(least_b, np.where(links, new_a[:, None], top).min(axis=0))
-            if same:
-                new_a = new_b = np.minimum(new_a, new_b)
-            if (new_a == least_a).all() and (new_b == least_b).all():
-                break
-            least_a, least_b = new_a, new_b
-        pairs = [(a, least_a)] + ([] if same else [(b, least_b)])
-        node = np.concatenate([x for x, _ in pairs])
-        low = np.concatenate([y for _, y in pairs])
-        n = np.concatenate([c for _, c in counts]).astype(np.int64)
-        keep = (n > 0) | (node != low)
-        return pd.DataFrame({"node": node[keep], "low": low[keep], "n_links": n[keep]})
-
-    found = rows.groupBy("group", "i", "j").applyInPandas(tile, "node bigint, low bigint, n_links bigint")
-    found = written(found, "links")
-    for table in (nodes, dealt, tiles):
+        return _tile_links(rows[rows["side"] == 0].reset_index(drop=True), rows[rows["side"] == 1].reset_index(drop=True), percent)
+
+    found = written(rows.groupBy("group", "i", "j").applyInPandas(tile, _LINKS), "links")
+    for table in (nodes, weighty, dealt, tiles):
         release(table)
-    return components(found, "node", "low", "linked"), found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    known = found_whole.where("node != low").select("node", F.col("low").alias("component"))
+    counts = found_whole.unionByName(found).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return known.unionByName(components(found, "node", "low", "linked")), counts
+
+
+def _tile_links(own: pd.DataFrame, other: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(node, low, n_links) of the links between two blocks, or inside one if the other is empty; ``low`` is the smallest node that links lead to."""
+    same = not len(other)
+    if same:
+        other = own
+    common = _overlaps(own["grams"], own["grams"] if same else other["grams"])
+    sizes = own["n"].to_numpy()[:, None] + other["n"].to_numpy()[None, :]
+    links = 100 * common >= percent * (sizes - common)
+    if same:
+        np.fill_diagonal(links, False)
+    a, b = own["node"].to_numpy(), other["node"].to_numpy()
+    counts = [(a, links @ other["weight"].to_numpy())] + ([] if same else [(b, links.T @ own["weight"].to_numpy())])
+    # smallest linked node, again and again, until nothing changes
+    least_a, least_b = a.copy(), b.copy()
+    while True:
+        top = np.iinfo(np.int64).max
+        new_a = np.minimum(least_a, np.where(links, least_b[None, :], top).min(axis=1))
+        new_b = np.minimum(least_b, np.where(links, new_a[:, None], top).min(axis=0))
+        if same:
+            new_a = new_b = np.minimum(new_a, new_b)
+        if (new_a == least_a).all() and (new_b == least_b).all():
+            break
+        least_a, least_b = new_a, new_b
+    pairs = [(a, least_a)] + ([] if same else [(b, least_b)])
+    node = np.concatenate([x for x, _ in pairs])
+    low = np.concatenate([y for _, y in pairs])
+    n = np.concatenate([c for _, c in counts]).astype(np.int64)
+    keep = (n > 0) | (node != low)
+    return pd.DataFrame({"node": node[keep], "low": low[keep], "n_links": n[keep]})
+
+
+def _groups_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``_tile_links`` of many whole groups at once; ``low`` is the smallest node of the component."""
+    members = rows["group"].map(rows["group"].value_counts()).to_numpy()
+    parts = [_tile_links(some.reset_index(drop=True), rows.iloc[:0], percent) for _, some in rows[members > _FEW].groupby("group")]
+    rows = rows[members <= _FEW].sort_values(["group", "node"]).reset_index(drop=True)
+    if len(rows):
+        parts.append(_small_groups_links(rows, percent))
+    return pd.concat(parts) if parts else pd.DataFrame({"node": [], "low": [], "n_links": []}).astype("int64")
+
+
+def _small_groups_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    node, n, weight = (rows[c].to_numpy() for c in ("node", "n", "weight"))
+    sizes = rows["grams"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    group = np.unique(rows["group"].to_numpy(), return_inverse=True)[1]
+    flat = np.concatenate([np.asarray(g, dtype=np.int64) for g in rows["grams"]])
+    # elements of a group that are equal stand together, their sets in ascending order
+    order = np.lexsort((owner, flat, group[owner]))
+    owner, flat = owner[order], flat[order]
+    keys = [np.zeros(0, dtype=np.int64)]
+    at = np.arange(len(flat))
+    for apart in range(1, _FEW):
+        at = at[at + apart < len(flat)]
+        at = at[(flat[at] == flat[at + apart]) & (group[owner[at]] == group[owner[at + apart]])]
+        if not len(at):
+            break
+        keys.append(owner[at] * len(rows) + owner[at + apart])
+    pairs, common = np.unique(np.concatenate(keys), return_counts=True)
+    a, b = pairs // len(rows), pairs % len(rows)
+    links = 100 * common >= percent * (n[a] + n[b] - common)
+    a, b = a[links], b[links]
+    low, n_links = node.copy(), np.zeros(len(rows), dtype=np.int64)
+    np.add.at(n_links, a, weight[b])
+    np.add.at(n_links, b, weight[a])
+    while True:
+        before = low.copy()
+        np.minimum.at(low, a, low[b])
+        np.minimum.at(low, b, low[a])
+        if (low == before).all():
+            break
+    keep = n_links > 0
+    return pd.DataFrame({"node": node[keep], "low": low[keep], "n_links": n_links[keep]})
 
 
 def _overlaps(left: pd.Series, right: pd.Series) -> np.ndarray:
