@@ -281,7 +281,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``rows`` with the column ``ids`` (binary, as from ``encode``) replaced by ``text``; a null stays null."""
     others = [c for c in rows.columns if c != "ids"]
-    schema = rows.select(*others, F.lit("").alias("text")).schema
+    schema = rows.select(*others, F.lit(None).cast("string").alias("text")).schema
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)

@@ -66,7 +66,7 @@ class WordIndex:
         levels = max(1, int(len(self._alphabet) - 1).bit_length())
         forward = _sorted_rotations(text)
         backward = _sorted_rotations(text[::-1])
-        self._size = len(text)
+        self._size, self._words = len(text), len(words)
         self._smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << levels))])
         self._left = _Ranks(text[forward - 1], levels)
         self._right = _Ranks(text[::-1][backward - 1], levels)
@@ -101,7 +101,8 @@ class WordIndex:
                 some, half = [w[::-1] for w in some], lengths - half
             out += [found + np.array([[low], [0]]) for found in self._search(some, half, first_half)]
         pattern, word = np.concatenate(out, axis=1)
-        return pattern, word
+        real = word < self._words  # between the last delimiter and the first there is an empty word
+        return pattern[real], word[real]
 
     def _search(self, words: Sequence[str], half: np.ndarray, straight: bool):
         codes, begin = self._codes(words)
