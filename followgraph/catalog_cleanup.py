@@ -22,7 +22,7 @@ def _quoted(text: Column) -> Column:
 def _write_lines(lines: DataFrame, header: list[str], path: str) -> None:
     """Text files in which the header comes again and again; ``lines`` has one column."""
     title = F.lit(",".join(header) + "\n")
-    lines.select(F.concat(title, F.col(lines.columns[0])).alias("value")).repartition(4).write.text(path)
+    lines.toDF("line").select(F.concat(title, "line").alias("value")).repartition(4).write.text(path)
 
 
 def _edge_files(spark: SparkSession, sf_dir: str) -> str:
@@ -162,7 +162,7 @@ def span_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents with broken elements --------------------------------------------------------------
 
 _ELEMENTS = """
-    SELECT 'order-' || l_orderkey AS alias, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS position, l_partkey AS p, l_orderkey AS o FROM lineitem
+    SELECT 'order-' || l_orderkey AS alias, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS position, l_partkey AS p, l_orderkey AS o FROM lineitem
 """
 
 
@@ -175,7 +175,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_partkey") % 11 == 2, F.concat(F.lit('{"permalink":"part-'), p, F.lit('","track_count":"many"}')))
         .otherwise(F.concat(F.lit('{"permalink":"part-'), p, F.lit('","track_count":'), p, F.lit(',"unknown":[1,{"a":2}]}')))
     )
-    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", element.alias("e")))).alias("list"))
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", element.alias("e")))).alias("list"))
     body = F.concat(F.lit('{"alias":"order-'), F.col("l_orderkey").cast("string"), F.lit('","followers":['), F.array_join("list.e", ","), F.lit("]"))
     key = F.col("l_orderkey")
     tail = F.when(key % 29 == 0, F.lit("")).otherwise(F.lit("}"))
