@@ -10,10 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from followgraph.llm.common import small_side
+from followgraph.llm.shingles import string_buffers
 from followgraph.llm.tokens import encoder, groups
 from followgraph.session import written
 
-_BLOCK = 4 << 20  # characters a block of the table holds at least, unless its partition ends
+_BLOCK = 4 << 20  # bytes of text that a block of the table holds at least, unless its partition ends
 
 
 def token_table(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int) -> DataFrame:
@@ -29,11 +30,11 @@ def token_table(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int
         encode = encoder(tokenizer, keeps_spaces).encode
         for batch in batches:
             doc_ids = batch.column(0)
-            texts = batch.column(1).to_pylist()
-            for low, high in groups(texts, _BLOCK):
+            data, offsets = string_buffers(batch.column(1))
+            for low, high in groups(offsets, _BLOCK):
                 parts, sizes = [], []
-                for a, b in groups(texts[low:high]):
-                    ids, counts = encode([t or "" for t in texts[low + a : low + b]])
+                for a, b in groups(offsets[low : high + 1]):
+                    ids, counts = encode(data, offsets[low + a : low + b + 1])
                     parts.append(np.insert(ids, np.cumsum(counts), end_id))
                     sizes.append(counts + 1)
                 ids, counts = np.concatenate(parts), np.concatenate(sizes)

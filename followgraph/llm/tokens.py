@@ -1,22 +1,43 @@
-"""Token ids of whole texts by public tokenizers, with a bounded cache of the ids of words.
+"""Token ids of whole texts by public tokenizers, with the ids of fragments that a worker has met before.
 
-Texts repeat their words, and a word's ids don't depend on its neighbours where both tokenizers here cut
-a text anyway: before a space that precedes a visible character (byte-level BPE), and at every space (BPE with word ends, which
-drops white space). So only the words that a worker hasn't met are encoded.
+Texts repeat their words, and a word's ids don't depend on its neighbours where the tokenizer cuts a text anyway. The places that are certain to be cut
+are found for all bytes of a batch by one look-up for each pair of neighbouring bytes; only fragments that a worker hasn't met are
+encoded by the tokenizer, as texts of their own.
+
+For byte-level BPE those are the pairs of ``boundary_bpe.Vocabulary.safe``. For BPE with word ends, which drops white space and case and looks
+at runs of letters, numbers and signs one by one, they are: on either side of ASCII white space, and between a letter and a sign, either of them ASCII and the
+sign no apostrophe (contractions). Special tokens of the tokenizer are fragments of their own. Fragments of Latin letters are one word for either
+tokenizer, and go to its model without the search for words.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
 
-_MOST_WORDS = 600_000  # kept per worker and tokenizer
+from followgraph.llm.boundary_bpe import Vocabulary
+
+_MOST_FRAGMENTS = 800_000  # kept per worker and tokenizer
+_AT_ONCE = 2 << 20  # bytes
+_FRAGMENTS_AT_ONCE = 1 << 19
+
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_SIGN = np.isin(np.arange(256), [b for b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"])
+#: second bytes of letters from U+00C0 to U+00FF, which C3 begins
+_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: letters of ASCII and from U+00C0 to U+00FF, with the space that byte-level BPE keeps
+_LATIN_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
 
-#: words that the tokenizers' clean-up leaves alone but for their case
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+def _word_cuts() -> np.ndarray:
+    left, right = np.arange(1 << 16) >> 8, np.arange(1 << 16) & 255
+    return (_WHITE[left] != _WHITE[right]) | (_LETTER[left] & _SIGN[right]) | (_SIGN[left] & _LETTER[right])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,192 +60,107 @@ def encoder(path: str, keeps_spaces: bool) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str, keeps_spaces: bool) -> None:
-        """``keeps_spaces``: a space is part of the next word's first id; else white space is dropped."""
+        """``keeps_spaces``: byte-level BPE, where a space is part of the next word's first id; else white space is dropped."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._keeps_spaces = keeps_spaces
-        self._bytes = _byte_letters()
-        (self._mark,) = self._tokenizer.encode("\n" if keeps_spaces else "|", add_special_tokens=False).ids
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        special = sorted((t.content for t in self._tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._special = re.compile("|".join(map(re.escape, special)).encode()) if special else None
+        self._keeps_spaces, self._letters = keeps_spaces, _byte_letters()
+        self._cuts = Vocabulary(path).safe if keeps_spaces else _word_cuts()
+        # a letter beyond ASCII before a sign or letter, where ASCII letters are cut from it, too
+        self._after_latin = self._cuts[ord("e") << 8 | np.arange(256)] & _SIGN
         self._forget()
 
     def _forget(self) -> None:
-        self._first: dict[str, int] = {}  # words as they are
-        self._later: dict[str, int] = {}  # words with a space before; -1 where the cut isn't safe
+        self._slot: dict[bytes, int] = {}
         self._flat = np.zeros(1 << 16, dtype=np.uint32)
-        self._begin = np.zeros(1 << 12, dtype=np.int64)
-        self._size = np.zeros(1 << 12, dtype=np.int64)
-        self._uses = np.zeros(1 << 12, dtype=np.int64)
-        self._used = self._slots = 0
-
-    def _tidy(self) -> None:
-        """Keep the words that came more than once, most used first, up to half of what fits."""
-        uses, flat, begin, size = self._uses[: self._slots], self._flat, self._begin, self._size
-        often = np.argsort(-uses, kind="stable")[: _MOST_WORDS // 2]
-        keep = np.zeros(self._slots, dtype=bool)
-        keep[often[uses[often] > 1]] = True
-        old = (self._first, self._later)
-        self._forget()
-        for known, before in zip((self._first, self._later), old):
-            words = [w for w, s in before.items() if s >= 0 and keep[s]]
-            slots = np.array([before[w] for w in words], dtype=np.int64)
-            sizes = size[slots]
-            ends = np.cumsum(sizes)
-            ids = flat[np.repeat(begin[slots] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-            self._store(known, words, ids, ends - sizes, sizes)
-            known.update((w, -1) for w, s in before.items() if s < 0)
-            self._uses[: self._slots] = 1
-
-    def _learn(self, known: dict[str, int], words: set[str], lead: str) -> None:
-        """Encode the words that aren't known yet.
-
-        Words that end in a full stop or comma after a letter, or hold line breaks between visible characters, are put together
-        from shorter ones: both tokenizers cut there. The rest is encoded as one text, divided by a mark that is always one id.
-        """
-        new, joined, singles, stops = [], [], set(), (".", ",")
-        for word in words.difference(known):
-            if lead and self._unsafe(word):
-                known[word] = -1
-            elif "\n" not in word:
-                if word[-1:] in stops and word[-2:-1].isalpha():
-                    joined.append((word, (word[:-1], word[-1])))
-                    singles.add(word[:-1])
-                else:
-                    new.append(word)
-            elif len(pieces := self._pieces(word)) > 1:
-                joined.append((word, pieces))
-                singles.add(pieces[0])
-            else:
-                new.append(word)
-        if joined:
-            rest = {piece for _, pieces in joined for piece in pieces[1:]}
-            self._learn(known, singles, lead)
-            self._learn(self._first, rest, "")
-            slots = [s for _, pieces in joined for s in (known[pieces[0]], *map(self._first.__getitem__, pieces[1:]))]
-            counts = np.array([len(pieces) for _, pieces in joined], dtype=np.int64)
-            ids, ends = self._gather(np.array(slots, dtype=np.int64))
-            cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
-            self._store(known, [word for word, _ in joined], ids, cuts[:-1], np.diff(cuts))
-        letters = [w for w in new if _LETTERS.fullmatch(w)]
-        if letters:
-            # the model itself, without looking for cuts in a word of letters
-            tokenize, table = self._tokenizer.model.tokenize, self._bytes
-            plain = letters if self._keeps_spaces else [w.lower() for w in letters]
-            codes = [tokenize((lead + w).encode().decode("latin-1").translate(table)) for w in plain]
-            sizes = np.array([len(c) for c in codes], dtype=np.int64)
-            self._store(known, letters, np.array([t.id for c in codes for t in c], dtype=np.uint32), np.cumsum(sizes) - sizes, sizes)
-            new = [w for w in new if w not in known]
-        mark = "\n" if self._keeps_spaces else "|"
-        plain = lead or not self._keeps_spaces
-        alone = [w for w in new if mark in w or not plain]
-        new = [w for w in new if mark not in w] if plain else []
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            text = f"{lead}{f'{mark}{lead}'.join(some)}{mark}" if lead else f"{f' {mark} '.join(some)} {mark}"
-            (code,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(code.ids, dtype=np.uint32)
-            ends = np.flatnonzero(ids == self._mark)
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            self._store(known, some, ids, begins, ends - begins)
-        for at in range(0, len(alone), 50_000):
-            some = alone[at : at + 50_000]
-            codes = [c.ids for c in self._tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False)]
-            sizes = np.array([len(c) for c in codes], dtype=np.int64)
-            ids = np.array([i for c in codes for i in c], dtype=np.uint32)
-            self._store(known, some, ids, np.cumsum(sizes) - sizes, sizes)
-
-    @staticmethod
-    def _pieces(word: str) -> list[str]:
-        """The word, or its parts around line breaks and before a last full stop or comma."""
-        out = []
-        for k, part in enumerate(word.split("\n")):
-            if k:
-                out.append("\n")
-            if not part or part[0].isspace() or part[-1].isspace() or ord(part[0]) < 33 or ord(part[-1]) < 33:
-                if "\n" in word:
-                    return [word]
-            if len(part) > 1 and part[-1] in ".," and part[-2].isalpha():
-                out += [part[:-1], part[-1]]
-            else:
-                out.append(part)
-        return out
-
-    def _store(self, known: dict, words: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
-        assert len(words) == len(begins)
+        self._begin = np.zeros(1 << 16, dtype=np.int64)
+        self._used = 0
+        signs = [bytes([b]) for b in range(128)]
+        self._learn(set(signs))
+        self._sign_slots = np.array([self._slot[s] for s in signs])
+
+    def _learn(self, fragments: set[bytes]) -> None:
+        words = [f for f in fragments if _LATIN_WORD.fullmatch(f)]
+        others = list(fragments.difference(words))
+        plain = words if self._keeps_spaces else [w.decode().lower().encode() for w in words]
+        tokenize, letters = self._tokenizer.model.tokenize, self._letters
+        codes = [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in plain]
+        if others:
+            texts = [f.decode("utf-8", "replace") for f in others]
+            codes += [code.ids for code in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        fragments = words + others
+        ids = [i for code in codes for i in code]
+        ends = np.cumsum([len(code) for code in codes])
+        slot, end = len(self._slot), len(self._slot) + len(fragments)
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        slot, end = self._slots, self._slots + len(words)
-        while end > len(self._begin):
-            self._begin, self._size, self._uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._size, self._uses))
+        while end >= len(self._begin):
+            self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
+        self._slot.update(zip(fragments, range(slot, end)))
         self._flat[self._used : self._used + len(ids)] = ids
-        known.update(zip(words, range(slot, end)))
-        self._begin[slot:end] = begins + self._used
-        self._size[slot:end] = sizes
+        self._begin[slot + 1 : end + 1] = ends + self._used
         self._used += len(ids)
-        self._slots = end
-
-    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the slots one after the other, and where each begins (one more at the end)."""
-        sizes = self._size[slots]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self._flat[np.repeat(self._begin[slots] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
-    def _parts(self, text: str) -> list[str]:
+    def _places(self, data: np.ndarray, raw: bytes, borders: np.ndarray) -> np.ndarray:
+        """Places between bytes where a text begins or ends, or the tokenizer is certain to cut."""
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = self._cuts[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        latin = np.flatnonzero(data[:-2] == 0xC3) + 2
+        cut[latin] |= _LATIN[data[latin - 1]] & self._after_latin[data[latin]]
+        if self._special is not None:
+            for match in self._special.finditer(raw):
+                if np.searchsorted(borders, match.start(), "right") != np.searchsorted(borders, match.end()):
+                    continue  # half of it ends one text, the other half begins the next
+                cut[match.start() + 1 : match.end()] = False
+                cut[list(match.span())] = True
+        cut[borders] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their number per text; text k is ``data[offsets[k] : offsets[k + 1]]``."""
+        if len(self._slot) > _MOST_FRAGMENTS:
+            self._forget()
+        begin, borders = int(offsets[0]), offsets - int(offsets[0])
+        data = data[begin : int(offsets[-1])]
+        if not len(data):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
+        raw = data.tobytes()
+        if not self._keeps_spaces:
+            lower = raw.lower()  # of A-Z
+            if self._special is None or len(self._special.findall(lower)) == len(self._special.findall(raw)):
+                data, raw = _LOWER[data], lower
+        cuts = self._places(data, raw, borders)
+        ends = cuts[1:]
+        cuts = cuts[:-1]
         if not self._keeps_spaces:
-            return text.replace("\n", " ").split(" ")
-        return text.split(" ")
-
-    @staticmethod
-    def _unsafe(word: str) -> bool:
-        return not word or word[0].isspace() or ord(word[0]) < 33
-
-    def _joined(self, parts: list[str]) -> list[str]:
-        """The pieces of a text with runs of white space, each with its leading space."""
-        out = [parts[0]]
-        for word in parts[1:]:
-            if self._unsafe(word):
-                out[-1] += " " + word
-            else:
-                out.append(" " + word)
-        return out
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and their number per text."""
-        if self._slots > _MOST_WORDS:
-            self._tidy()
-        split = [self._parts(t) for t in texts]
-        if self._keeps_spaces:
-            heads = [parts[0] for parts in split]
-            tails = [parts[1:] for parts in split]
-            self._learn(self._later, set().union(*tails), " ")
-            self._learn(self._first, set(heads), "")
-            lists = [[self._first[head], *map(self._later.__getitem__, tail)] for head, tail in zip(heads, tails)]
-            for row, slots in enumerate(lists):
-                if -1 in slots:
-                    pieces = self._joined(split[row])
-                    self._learn(self._first, set(pieces), "")
-                    lists[row] = [self._first[piece] for piece in pieces]
-        else:
-            self._learn(self._first, set().union(*split), "")
-            lists = [[*map(self._first.__getitem__, parts)] for parts in split]
-        counts = np.array([len(slots) for slots in lists], dtype=np.int64)
-        slots = [slot for slots in lists for slot in slots]
-        slots = np.array(slots, dtype=np.int64)
-        ids, ends = self._gather(slots)
-        self._uses[: self._slots] += np.bincount(slots, minlength=self._slots)[: self._slots]
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(ends[cuts])
-
-
-def groups(texts: Sequence[str | None], limit: int = 1 << 20):
-    """Row ranges of about ``limit`` characters each."""
-    low = held = 0
-    for row, text in enumerate(texts):
-        held += len(text or "")
-        if held >= limit:
-            yield low, row + 1
-            low, held = row + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+            some = ~_WHITE[data[cuts]]
+            cuts, ends = cuts[some], ends[some]
+        slots = np.empty(len(cuts), dtype=np.int64)
+        signs = ends - cuts == 1
+        slots[signs] = self._sign_slots[data[cuts[signs]]]
+        longer = np.flatnonzero(~signs)
+        for low in range(0, len(longer), _FRAGMENTS_AT_ONCE):
+            some = longer[low : low + _FRAGMENTS_AT_ONCE]
+            fragments = [raw[a:b] for a, b in zip(cuts[some].tolist(), ends[some].tolist())]
+            if new := set(fragments).difference(self._slot):
+                self._learn(new)
+            slots[some] = np.fromiter(map(self._slot.__getitem__, fragments), dtype=np.int64, count=len(fragments))
+        sizes = self._begin[slots + 1] - self._begin[slots]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._flat[np.repeat(self._begin[slots] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(cuts, borders)])
+
+
+def groups(offsets: np.ndarray, limit: int = _AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes each."""
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit)))
+        high = min(high, len(offsets) - 1)
+        yield low, high
+        low = high

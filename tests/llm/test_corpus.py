@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,7 +28,8 @@ from followgraph.llm import (
     queries,
     substring_dedup,
 )
-from followgraph.llm.tokens import Encoder
+from followgraph.llm.shingles import string_buffers
+from followgraph.llm.tokens import Encoder, groups
 from followgraph.session import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -159,9 +161,15 @@ def test_substring_dedup_keeps_one_copy_whatever_the_order_of_rows(spark):
 def test_encoder_equals_the_library(file, spaces):
     texts = ["", " ", "a  b", "\n a\n\n b.", "Don't  'tis,\nx.", "\x1c a\x85b", "é É ß İ Σας", "| a | b", "<|endoftext|> x", "tab\tb  ", "1,2. 3"]
     texts += [r.text or "" for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").df().itertuples()]
+    texts += ["<|endoftext|>", "a <|endoftext|><|endoftext|>  b<|startoftext|>c", "İ. İ, aİ.", "é.à,ÉcoLE:x", "x!'s y'll", ""]
+    rng = random.Random(7)
+    pools = ["ab'stremvld !?.,\"  \n\t", "é世　 \u0085 a1'É.,", "\x00\x1c\x1f\x0b \n a", "😀👩‍👧́ñ٣½ x.", "<|endoftext|> |<>", "İΣςßÀ×÷.,- é"]
+    texts += ["".join(rng.choice(p + q) for _ in range(30)) for p in pools for q in pools for _ in range(60)]
     library = Tokenizer.from_file(public_tokenizers.path(file))
-    library.encode_special_tokens = True
-    ids, sizes = Encoder(public_tokenizers.path(file), spaces).encode(texts)
+    data, offsets = string_buffers(pa.array(texts))
+    own = Encoder(public_tokenizers.path(file), spaces)
+    parts = [own.encode(data, offsets[a : b + 1]) for a, b in groups(offsets, 5000)]
+    ids, sizes = (np.concatenate(x) for x in zip(*parts))
     want = [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
