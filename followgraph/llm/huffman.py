@@ -71,28 +71,27 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def by_id(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and codes with the id as index."""
-    sizes, words = np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.int64), np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.uint64)
-    sizes[symbols], words[symbols] = lengths, codes
+    """Lengths, and codes with their first bit at the top of 64, with the id as index."""
+    sizes, words = np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.uint8), np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.uint64)
+    sizes[symbols], words[symbols] = lengths, codes.astype(np.uint64) << (64 - lengths).astype(np.uint64)
     return sizes, words
 
 
 def encode_block(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
     """(payload, checkpoints) of the ids, by the tables of ``by_id``."""
+    if not len(ids):
+        return b"", b""
     size, code = sizes[ids], words[ids]
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     begins = ends - size
-    word, room = begins >> 6, 64 - (begins & 63) - size
-    high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
-    out = np.zeros(int(ends[-1] >> 6) + 2 if len(ends) else 0, dtype=np.uint64)
-    if len(ids):
-        edges = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[edges]] |= np.add.reduceat(high, edges)
-        over = np.flatnonzero(room < 0)
-        out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)  # at most one code runs into a word
-    bits = np.add.reduceat(size, np.arange(0, len(size), LANE)) if len(size) else size
-    total = int(ends[-1]) if len(ends) else 0
-    return out.astype(">u8").tobytes()[: (total + 7) // 8], bits.astype("<u2" if bits.max(initial=0) < 65536 else "<u4").tobytes()
+    word, place = begins >> 6, (begins & 63).astype(np.uint8)
+    out = np.zeros(int(ends[-1] >> 6) + 2, dtype=np.uint64)
+    edges = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[edges]] = np.add.reduceat(code >> place.astype(np.uint64), edges)
+    over = np.flatnonzero(place + size > 64)
+    out[word[over] + 1] |= code[over] << (64 - place[over]).astype(np.uint64)  # at most one code runs into a word
+    bits = np.add.reduceat(size, np.arange(0, len(size), LANE), dtype=np.int64)
+    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], bits.astype("<u2" if bits.max() < 65536 else "<u4").tobytes()
 
 
 def decoding_table(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
