@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,6 +36,20 @@ def release(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle() -> None:
+    """Give back memory that earlier tasks left in this worker: what tokenizers keep between tasks, and blocks that were freed.
+
+    Spark uses workers again for other operators, so an operator that needs much memory calls this at the beginning of a task.
+    """
+    for name, kept in (("tokens", "_encoders"), ("boundary_bpe", "_codecs")):
+        if module := sys.modules.get(f"followgraph.llm.{name}"):
+            getattr(module, kept).clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def pack(arrays: Sequence[np.ndarray]) -> bytes:
     """Arrays as one byte string: their lengths in bytes, then their bytes."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from followgraph.llm.common import linked, pack, release, small_side, unpack
+from followgraph.llm.common import linked, pack, release, settle, small_side, unpack
 from followgraph.llm.shingles import gram_sets
 from followgraph.session import written
 
@@ -44,6 +44,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, set_key): size and a 64-bit digest of every document's set; no digest for an empty set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             sizes, keys = [], []
             for _, grams in gram_sets(batch.column(1), width):
@@ -69,6 +70,7 @@ def _known_shingles(docs: DataFrame, total: int, width: int, percent: int) -> tu
     fragments = max(64, -(-total // (2 * _FRAGMENT_GRAMS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         block: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
@@ -161,6 +163,7 @@ def _shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             lists = [g.astype(np.int64) for _, g in gram_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "grams"])

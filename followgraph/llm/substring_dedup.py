@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from followgraph.llm.common import linked, pack, release, small_side, unpack
+from followgraph.llm.common import linked, pack, release, settle, small_side, unpack
 from followgraph.llm.shingles import gram_hashes, mixed, string_buffers, text_chunks, word_hashes
 from followgraph.session import written
 
@@ -181,6 +181,7 @@ def _paragraph_rows(docs: DataFrame, buckets: int) -> DataFrame:
         )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         keys, ids, bands, held = [], [], [], 0
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -236,6 +237,7 @@ def _line_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, grams) of the wanted lines, from the document that was noted for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for low, high, chunk in _chunks(batch.column(1)):
@@ -285,6 +287,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release(repeated)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for low, high, chunk in _chunks(batch.column(1)):
@@ -327,6 +330,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             cuts = batch.column(batch.num_columns - 1).to_pylist()
             at = schema.names.index("text")
