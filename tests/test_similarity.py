@@ -147,3 +147,23 @@ def test_overlap_share(spark):
     truth = spark.createDataFrame([(1, 1, 3, 9), (1, 2, 2, 8), (2, 1, 4, 9), (2, 2, 5, 8)], "artist INT, rank INT, other INT, common INT")
     got = {r.artist_id: (r.hits, r.share) for r in overlap_share(similar, truth, 2).collect()}
     assert got == {1: (2, 1.0), 2: (0, 0.0)}
+
+
+def test_columns_go_to_few_blocks():
+    size = tiles.rows_per_block(1_200_000, 30, 12)
+    assert -(-1_200_000 // size) <= 24  # 480 blocks of rows and 60 of columns before
+    assert tiles.rows_per_block(1_200_000, 4_106, 12) * 4_106 <= 4_000_000  # answers that a task holds
+    assert tiles.rows_per_block(100, 30, 12) == 2_500 and tiles.rows_per_block(100, 30, 12, most=7) == 7
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_copies_are_settled_by_id_across_packs(spark, monkeypatch, unit):
+    monkeypatch.setattr(tiles, "_SCORE_CELLS", 64)
+    random = np.random.default_rng(3)
+    kinds = [[1.0, 2.0, 0.0], [2.0, 4.0, 0.0], [0.0, 0.0, 0.0], [0.3, 0.1, 0.7], [1e-200, 0.0, 3e-200]]
+    items = _items(spark, {int(k): kinds[k % 5] for k in random.permutation(200)}).repartition(4)
+    got = _found(tiles.best_products(items, items, 3, unit=unit, skip_same_id=True, block_rows=40, block_columns=16), "row_id", "column_id")
+    if unit:
+        assert got[0] == [1, 5, 6] and got[1] == [0, 5, 6] and got[3] == [8, 13, 18] and 2 not in got
+    else:
+        assert got[0] == [1, 6, 11] and got[1] == [6, 11, 16] and got[2] == [0, 1, 3]
