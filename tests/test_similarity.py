@@ -167,3 +167,16 @@ def test_copies_are_settled_by_id_across_packs(spark, monkeypatch, unit):
         assert got[0] == [1, 5, 6] and got[1] == [0, 5, 6] and got[3] == [8, 13, 18] and 2 not in got
     else:
         assert got[0] == [1, 6, 11] and got[1] == [6, 11, 16] and got[2] == [0, 1, 3]
+
+
+def test_a_sparse_graph_needs_no_tiles(spark, monkeypatch):
+    random = np.random.default_rng(2)
+    edges = sorted({(int(a), int(f)) for a, f in zip(random.integers(-3, 2_000, 6_000), random.integers(0, 300, 6_000))})
+    monkeypatch.setattr(overlap, "_tile_function", lambda *_: pytest.fail("a tile"))
+    monkeypatch.setattr(overlap, "_PAIRS_AT_ONCE", 5_000)
+    monkeypatch.setattr(overlap, "_LIGHT", 6)
+    monkeypatch.setattr(overlap, "_TAIL_FOLLOWERS", 1)
+    monkeypatch.setattr(overlap, "_TASK_PAIRS", 40_000)
+    table = spark.createDataFrame([(a, 1 << 40 | f) for a, f in edges], "artist_id BIGINT, follower_id BIGINT")
+    got = overlap.common_followers(table, block_artists=100)
+    assert {(r.artist, r.other): r.common for r in got.collect()} == dict(_overlaps(edges))
