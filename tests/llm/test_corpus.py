@@ -271,6 +271,20 @@ def test_language_id_rejects_what_has_letters_but_no_language(spark):
     assert max(few.thresholds) > 1 / len(few.languages)  # calibrated on few documents, too
 
 
+def test_language_id_learns_from_every_document(spark):
+    # a language's only word of a kind is in a document beyond the first 500 by hash
+    common = [(k, "gam dol ber sitre", "xx") for k in range(560)] + [(k, "oni vap lurk tesma", "yy") for k in range(1000, 1560)]
+    special = [(2000 + k, "qewq wqeq", "xx") for k in range(40)] + [(3000 + k, "jhgj gjhj", "yy") for k in range(40)]
+    learnt = spark.createDataFrame(common + special, "doc_id bigint, text string, lang string").repartition(3)
+    ranked = learnt.withColumn("rank", F.expr("row_number() over (partition by lang order by xxhash64(doc_id), doc_id)"))
+    learnt = ranked.where("doc_id < 2000 or rank > 500").drop("rank")
+    assert learnt.where("doc_id >= 2000").groupBy("lang").count().count() == 2
+    model = language_id.train(learnt, F.lit(True))
+    asked = spark.createDataFrame([(1, "qewq wqeq"), (2, "jhgj gjhj")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(asked, model).collect()}
+    assert got[1][0] == "xx" and got[2][0] == "yy" and min(s for _, s in got.values()) > 0.6
+
+
 def test_license_phrases_equal_brute_force(spark):
     texts = {1: "MIT License. mit\nlicense", 2: "the mit licenses", 3: None, 4: "Apache-License GNU General Public License v3", 5: "émit license"}
     texts[6] = "x " * 5000 + license_scan.TEMPLATES["mit-text"].replace("[[", "").replace("]]", "").upper()
