@@ -837,7 +837,8 @@ def als_holdout_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.every(~F.isnan("prediction")).alias("finite"),
         F.every(equal).alias("products"),
     )
-    both = totals.withColumn("k", F.lit(1)).join(follows.withColumn("k", F.lit(1)), "k")  # one row each
+    together = totals.unionByName(follows, allowMissingColumns=True)  # one row each
+    both = together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
     return both.select("pairs", (F.col("falling") & F.col("follows")).alias("falling"), "finite", "products")
 
 

@@ -244,7 +244,8 @@ def approx_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         activity.activity_sketches(batch, "artist_id", "follower_id").write.mode("append").parquet(path)
     about = activity.merged_activity(spark.read.parquet(path)).select(F.struct("*").alias("about"))
     exact = activity.activity_thresholds(edges, "artist_id", "follower_id", []).select(F.struct("*").alias("exact"))
-    both = about.withColumn("k", F.lit(1)).join(exact.withColumn("k", F.lit(1)), "k")  # one row each
+    together = about.unionByName(exact, allowMissingColumns=True)  # one row each
+    both = together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
     near = lambda c: F.abs(F.col(f"about.{c}") - F.col(f"exact.{c}")) <= 0.02 * F.col(f"exact.{c}")
     rows = [F.struct(F.lit(c).alias("what"), near(c).alias("within")) for c in ("edges", "followers", "artists", "density")]
     return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
