@@ -126,3 +126,11 @@ def test_sketches_of_overlapping_batches_merge(spark):
     assert abs(merged["edges"] - 30_000) < 600 and abs(merged["followers"] - 30_000) < 600 and abs(merged["artists"] - 300) <= 3
     none = activity.merged_activity(activity.activity_sketches(edges.limit(0))).head()
     assert (none["edges"], none["followers"], none["density"]) == (0, 0, None)
+
+
+def test_documents_are_parsed_once_for_both_parts(spark):
+    lines = spark.createDataFrame([('{"alias":"a","followers":[{"permalink":"x"},7]}',), ('{"alias":"b","followers":[]}',), ("{",), ('{"alias":"c"}',)], "line string")
+    parts = tolerant.followers_of(lines)
+    assert all("parse_json" not in p._jdf.queryExecution().optimizedPlan().toString() for p in parts)
+    assert [(r.alias, r.position, r.follower.permalink) for r in parts[0].collect()] == [("a", 0, "x")]
+    assert {tuple(r) for r in parts[1].collect()} == {("a", 1, "7", tolerant.NO_OBJECT), (None, None, "{", tolerant.NO_JSON)}
