@@ -202,3 +202,11 @@ def test_known_artists_are_not_recommended(spark):
     lists = {f: sorted(r["rank"] for r in rows if r["follower_id"] == f) for f in range(9)}
     left = len({a for a, _, _ in edges}) - sum(f == 0 for _, f, _ in edges)
     assert lists[0] == list(range(1, min(5, left) + 1)) and all(lists[f] == [1, 2, 3, 4, 5] for f in range(1, 9))
+
+
+def test_followers_of_many_artists_need_no_longer_lists(spark, monkeypatch):
+    asked, plain = [], M.best_products
+    monkeypatch.setattr(M, "best_products", lambda users, items, n, **more: (asked.append(n), plain(users, items, n, **more))[1])
+    known = spark.createDataFrame([(a, f, 1) for a in range(40) for f in range(6) if f == 0 or a % 6 == f], "artist_id int, follower_id int, count int")
+    rows = M.recommend_unknown(M.fit(known, rank=2), known, 5).collect()
+    assert asked == [5] and {r["follower_id"] for r in rows} == {1, 2, 3, 4, 5}

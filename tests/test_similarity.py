@@ -180,3 +180,34 @@ def test_a_sparse_graph_needs_no_tiles(spark, monkeypatch):
     table = spark.createDataFrame([(a, 1 << 40 | f) for a, f in edges], "artist_id BIGINT, follower_id BIGINT")
     got = overlap.common_followers(table, block_artists=100)
     assert {(r.artist, r.other): r.common for r in got.collect()} == dict(_overlaps(edges))
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_pairs_that_are_left_out_are_no_answers(spark, monkeypatch, unit):
+    monkeypatch.setattr(tiles, "_SCORE_CELLS", 64)
+    random = np.random.default_rng(4)
+    vectors = {k: [float(x) for x in random.normal(size=3)] for k in range(90)}
+    out = {(int(r), int(c)) for r, c in random.integers(0, 95, (2_000, 2))} | {(5, c) for c in range(90)}
+    pairs = spark.createDataFrame([*out, (None, 1), (1, None)], "row_id bigint, column_id bigint").repartition(3)
+    items = _items(spark, vectors).repartition(4)
+    got = tiles.best_products(items, items, 4, unit=unit, skip_same_id=True, block_rows=20, block_columns=16, left_out=pairs)
+    want = {}
+    for a, x in vectors.items():
+        length = lambda v: np.sqrt(np.dot(v, v)) if unit else 1.0
+        scores = sorted((-round(float(np.dot(x, y) / length(x) / length(y)), 9), b) for b, y in vectors.items() if b != a and (a, b) not in out)
+        if scores:
+            want[a] = [b for _, b in scores[:4]]
+    assert 5 not in want and _found(got, "row_id", "column_id") == want
+
+
+def test_rows_with_the_same_id_are_ranked_as_one(spark):
+    rows = _items(spark, {1: [1.0, 0.0], 2: [0.0, 1.0]}).unionByName(_items(spark, {1: [0.0, 5.0]}))
+    columns = _items(spark, {1: [1.0, 1.0], 2: [3.0, 0.0], 3: [0.0, 2.0], 4: [4.0, 0.0]})
+    got = sorted((r.row_id, r["rank"], r.column_id, round(r.score, 9)) for r in tiles.best_products(rows, columns, 3).collect())
+    assert got == [(1, 1, 3, 10.0), (1, 2, 1, 5.0), (1, 3, 4, 4.0), (2, 1, 3, 2.0), (2, 2, 1, 1.0), (2, 3, 2, 0.0)]
+
+
+def test_answers_are_not_shuffled_for_their_ranks(spark):
+    items = _items(spark, {k: [1.0, float(k)] for k in range(30)})
+    plan = tiles.best_products(items, items, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
