@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from followgraph.llm.common import linked, pack, release, settle, small_side, unpack
+from followgraph.llm.common import linked, pack, release, settle, small_side, tidy, unpack
 from followgraph.llm.shingles import gram_hashes, mixed, string_buffers, text_chunks, word_hashes
 from followgraph.session import written
 
@@ -35,8 +35,9 @@ ANCHOR = 18
 BANDS = 5  # of two rows each: a pair at the threshold collides with probability 1 - (1 - 0.75**2)**5 = 0.984
 _ROWS = 2
 _APART = 9  # words between the beginnings of blocks: 27 common shingles of 37 are below PERCENT
-_BLOCK_ENTRIES = 1_000_000
-_BUCKETS = 64
+_BLOCK_ENTRIES = 250_000
+_BUCKETS = 64  # at least
+_BUCKET_ROWS = 8_000  # rows of a bucket, where there are more of them
 _ODD = mixed(np.arange(1, BANDS * _ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -181,7 +182,6 @@ def _paragraph_rows(docs: DataFrame, buckets: int) -> DataFrame:
         )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
         keys, ids, bands, held = [], [], [], 0
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -203,11 +203,12 @@ def _paragraph_rows(docs: DataFrame, buckets: int) -> DataFrame:
             yield from block(keys, ids, bands)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(deal, "bucket int, data binary")
+    return rows.mapInArrow(tidy(deal), "bucket int, data binary")
 
 
 def _repeated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Keys that several documents have, with the smallest."""
+    settle()
     parts = [unpack(data, ["<u8", "<i8", "<i8"]) for data in rows["data"]]
     k, first, last = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(k, kind="stable")
@@ -220,6 +221,7 @@ def _repeated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _colliding(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The lines that share a band with a different line."""
+    settle()
     parts = [unpack(data, ["<u8", "<u8", "<i8", "<i8"]) for data in rows["data"]]
     band, node, doc, n = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((doc, node, band))
@@ -237,7 +239,6 @@ def _line_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, grams) of the wanted lines, from the document that was noted for each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for low, high, chunk in _chunks(batch.column(1)):
@@ -251,7 +252,7 @@ def _line_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     some = docs.select(F.col("doc_id").cast("bigint"), "text")
     some = some.join(small_side(written(nodes.select("doc_id").distinct(), "line-docs")), "doc_id", "left_semi")
-    rows = some.mapInArrow(sets, "node bigint, doc_id bigint, grams array<bigint>")
+    rows = some.mapInArrow(tidy(sets), "node bigint, doc_id bigint, grams array<bigint>")
     rows = rows.join(small_side(nodes, 32), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
     n = F.size("grams").cast("bigint")
     return written(rows.select("node", n.alias("n"), F.lit(1).cast("bigint").alias("weight"), "grams"), "line-sets")
@@ -263,10 +264,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``start`` and ``length`` count words; ``removed`` is false in the document that keeps the passage. ``keep_doc_id`` and
     ``cluster_id`` are those of the first of several merged paragraphs.
     """
-    rows = written(_paragraph_rows(docs, _BUCKETS), "paragraphs")
-    repeated = rows.where(f"bucket < {_BUCKETS}").groupBy("bucket").applyInPandas(_repeated, "key bigint, keeper bigint")
+    buckets = max(_BUCKETS, docs.count() // _BUCKET_ROWS)
+    rows = written(_paragraph_rows(docs, buckets), "paragraphs")
+    repeated = rows.where(f"bucket < {buckets}").groupBy("bucket").applyInPandas(_repeated, "key bigint, keeper bigint")
     repeated = written(repeated, "repeated")
-    postings = rows.where(f"bucket >= {_BUCKETS}").groupBy("bucket").applyInPandas(
+    postings = rows.where(f"bucket >= {buckets}").groupBy("bucket").applyInPandas(
         _colliding, "gram bigint, node bigint, doc_id bigint, n bigint"
     )
     postings = written(postings, "postings")
@@ -287,7 +289,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release(repeated)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for low, high, chunk in _chunks(batch.column(1)):
@@ -303,7 +304,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     )
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
-    found = texts.mapInArrow(occurrences, "key bigint, doc_id bigint, start bigint, length bigint").join(small_side(clusters, 24), "key")
+    found = texts.mapInArrow(tidy(occurrences), "key bigint, doc_id bigint, start bigint, length bigint").join(small_side(clusters, 24), "key")
     found = found.withColumn("removed", F.col("doc_id") != F.col("keeper"))
     # merge what overlaps
     by_doc = Window.partitionBy("doc_id", "removed").orderBy("start", "length", "cluster")
@@ -330,7 +331,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
         for batch in batches:
             cuts = batch.column(batch.num_columns - 1).to_pylist()
             at = schema.names.index("text")
@@ -344,7 +344,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(out, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, spans: list[dict]) -> str:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from followgraph.llm import boundary_bpe, queries, spelling, whitening
+from followgraph.llm import boundary_bpe, common, queries, spelling, whitening
 from followgraph.llm.boundary_bpe import Codec
 from followgraph.llm.fm_index import WordIndex
 
@@ -310,3 +310,24 @@ def test_query_equals_the_library(spark, library):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         boundary_bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_nodes_that_cannot_link_go_to_no_tile(spark, monkeypatch):
+    monkeypatch.setattr(common, "_TILE_NODES", 8)
+    template = list(range(20))
+    # every node shares key 7; three in four have too many elements of their own to link with any other
+    grams = {k: template + [1000 + 100 * k + j for j in range(1 + k % 2 if k % 4 == 0 else 9)] for k in range(80)}
+    sets = spark.createDataFrame([(k, len(g), 1, sorted(g)) for k, g in grams.items()], "node bigint, n bigint, weight bigint, grams array<bigint>")
+    postings = spark.createDataFrame([(k, 7) for k in grams], "node bigint, gram bigint")
+    large = sets.selectExpr("node", "cast(0 as bigint) as group", "size(grams) as size")
+    assert {r.node for r in common._lone_nodes(large, sets, 75).collect()} == {k for k in grams if k % 4}
+    labels, counts = common.linked(postings, sets, 75)
+    assert {r.node: r.component for r in labels.collect()} == {k: 0 for k in grams if k % 4 == 0 and k}
+    assert {r.node: r.n_links for r in counts.collect()} == {k: 19 for k in grams if k % 4 == 0}
+
+
+def test_workers_wait_without_what_a_task_used(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "settle", lambda: calls.append("settled"))
+    rows = common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert [(r, len(calls)) for r in rows] == [(2, 1), (3, 1)] and len(calls) == 2
