@@ -360,6 +360,27 @@ def test_query_equals_sql(spark, name):
     assert same(got) == same(want) and len(got)
 
 
+def test_shuffled_starts_keep_their_letters_and_places(spark):
+    text = "Zürich, 42 \U0001d400bc; d\0e 東京!" * 3
+    sizes = [8, 16, len(text)]
+    starts = language_id._shuffled_starts(text, sizes, 5)
+    assert [len(s) for s in starts] == sizes and starts == language_id._shuffled_starts(text, sizes, 5)
+    for size, start in zip(sizes, starts):
+        assert sorted(start) == sorted(text[:size])
+        assert all(a == b for a, b in zip(text, start) if not a.isalpha())
+    assert starts[-1] != text and language_id._shuffled_starts("abc", [], 5) == []
+
+
+def test_an_encoder_learns_each_fragment_once(monkeypatch):
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    asked, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda fragments: (asked.append(set(fragments)), learn(fragments)))
+    data = np.frombuffer(b"unlikely words, unlikely words again", dtype=np.uint8)
+    first, _ = encoder.encode(data, np.array([0, len(data)]))
+    again, _ = encoder.encode(data, np.array([0, len(data)]))
+    assert first.tolist() == again.tolist() and asked == [{b"unlikely", b"words", b"again"}]
+
+
 def test_pipeline_keeps_clean_documents(spark, docs):
     import corpus_pipeline
 
