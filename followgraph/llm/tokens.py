@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
@@ -147,9 +148,12 @@ class Encoder:
         for low in range(0, len(longer), _FRAGMENTS_AT_ONCE):
             some = longer[low : low + _FRAGMENTS_AT_ONCE]
             fragments = [raw[a:b] for a, b in zip(cuts[some].tolist(), ends[some].tolist())]
-            if new := set(fragments).difference(self._slot):
-                self._learn(new)
-            slots[some] = np.fromiter(map(self._slot.__getitem__, fragments), dtype=np.int64, count=len(fragments))
+            found = np.fromiter(map(self._slot.get, fragments, repeat(-1)), dtype=np.int64, count=len(fragments))
+            new = np.flatnonzero(found < 0).tolist()
+            if new:
+                self._learn({fragments[k] for k in new})
+                found[new] = [self._slot[fragments[k]] for k in new]
+            slots[some] = found
         sizes = self._begin[slots + 1] - self._begin[slots]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self._flat[np.repeat(self._begin[slots] - total[:-1], sizes) + np.arange(total[-1])]
