@@ -776,7 +776,8 @@ def als_two_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_top_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every follower's 10 highest predictions."""
     trained = _trained(spark, sf_dir)
-    return model.recommend_artists(trained.model, 10).orderBy(F.desc("prediction"), "follower_id", "artist_id")
+    found = written(model.recommend_artists(trained.model, 10), "top-artists")  # sorting reads its rows twice, and would compute them twice
+    return found.orderBy(F.desc("prediction"), "follower_id", "artist_id")
 
 
 @query()
