@@ -107,6 +107,22 @@ def test_split_is_whole_and_disjoint(trained):
     assert train_part.intersect(test_part).count() == 0 and test_part.count() > 0
 
 
+def test_grid_search_fits_as_many_settings_at_once_as_occupy_the_cores(spark, trained, monkeypatch):
+    used = []
+
+    class Noted(M.CrossValidator):
+        def fit(self, ratings):
+            used.append(self.getParallelism())
+
+    monkeypatch.setattr(M, "CrossValidator", Noted)
+    cores = spark.sparkContext.defaultParallelism
+    M.grid_search(trained.edges, numUserBlocks=1, numItemBlocks=1)
+    M.grid_search(trained.edges, numUserBlocks=2 * cores, numItemBlocks=1)
+    M.grid_search(trained.edges, parallelism=2)
+    assert used == [2 * cores, 1, 2]
+    assert [M.fits_at_once(blocks, 12) for blocks in (10, 24, 43)] == [3, 1, 1]
+
+
 def test_grid_search_finds_the_lowest_error(spark, trained):
     search = M.grid_search(trained.edges, ranks=[2, 5], reg_params=[0.1, 1.0], folds=2, maxIter=2)
     results = M.grid_results(search)
