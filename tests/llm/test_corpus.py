@@ -371,6 +371,21 @@ def test_shuffled_starts_keep_their_letters_and_places(spark):
     assert starts[-1] != text and language_id._shuffled_starts("abc", [], 5) == []
 
 
+def test_thresholds_come_from_whole_texts(spark):
+    # scores by subword: those of x speak for the first language, all others for neither
+    table = np.zeros((language_id.BUCKETS + 1, 2), dtype=np.float32)
+    data = np.frombuffer(b"xxxxxxxx", dtype=np.uint8)
+    for buckets in language_id._subwords(data, np.array([0, len(data)])):
+        table[buckets[buckets < language_id.BUCKETS], 0] = 9
+    model = language_id.Model(["a", "b"], table, np.zeros(2))
+    rows = [(k, "a", "x" * 4096 + "y" * 9000) for k in range(20)] + [(30, "a", "x" * 3)]
+    apart = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    thresholds = language_id._thresholds(apart, model)
+    chances, _ = language_id._chances(pa.array([rows[0][2], "x" * 3]), model)
+    assert thresholds[-1] <= chances[0].max() < 0.99
+    assert thresholds[0] == chances[1].max() > 0.99  # texts shorter than the shortest start count as well
+
+
 def test_an_encoder_learns_each_fragment_once(monkeypatch):
     encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
     asked, learn = [], encoder._learn
