@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-Each component x of a vector becomes the integer floor(256 * x). Blocks of rows store these integers as slices: one bitmap per component and
-bit, over the rows of the block. A query's scores are sums of slices, shifted by the bits of the query's own components: a carry-save adder
+Each component x of a vector becomes the integer floor(256 * x). Blocks of rows hold these integers as slices: one bitmap per component and
+bit, over the rows of the block; a block is the work of one task, past which the queries stream. A query's scores are sums of slices, shifted by the bits of the query's own components: a carry-save adder
 reduces all bitmaps of one weight to one, which is a slice of the scores. The top rows are then selected from the most significant
 slice downward. Rows that are still tied at the end are the boundary; they are settled by exact scores and the smaller id.
 
@@ -15,15 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from followgraph.operators import tiles
 from followgraph.session import written
 
 SCALE = 256
-BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 64
+BLOCK_ROWS = 16_384  # at least, where there are more
+MOST_ROWS = 32_768
+_CELLS = 1 << 22  # integers of a block
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -36,41 +37,43 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFra
     return rows.select(F.col(id_column).cast("bigint").alias("id"), whole.alias("v")).distinct()
 
 
-def _matrix(values: list | pa.Array | np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(values), width), dtype=np.int64)
-    for row, v in enumerate(values):
-        out[row, : len(v)] = v
-    return out
-
-
-def build_index(rows: DataFrame, width: int, count: int) -> DataFrame:
-    """One row per block: its ids, integers and slices."""
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = _matrix(pdf["v"].tolist(), width)
-        low = values.min(axis=0)
-        above = (values - low).astype(np.uint64)
-        bits = [int(m).bit_length() for m in above.max(axis=0)]
-        padded = np.zeros((-(-len(values) // 64) * 64, width), dtype=np.uint64)
-        padded[: len(values)] = above
-        slices = [
-            np.packbits(((padded[:, d] >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
-            for d in range(width)
-            for b in range(bits[d])
-        ]
-        return pd.DataFrame(
-            {
-                "ids": [pdf["id"].to_numpy(dtype="<i8").tobytes()],
-                "integers": [values.astype("<i8").tobytes()],
-                "low": [low.astype("<i8").tobytes()],
-                "bits": [np.array(bits, dtype="<i8").tobytes()],
-                "slices": [b"".join(s.tobytes() for s in slices)],
-            }
-        )
-
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(build, "ids binary, integers binary, low binary, bits binary, slices binary")
+class _Index:
+    """The slices of one block of rows."""
+
+    def __init__(self, ids: np.ndarray, integers: np.ndarray) -> None:
+        self.ids, self.integers = ids, integers
+        width = integers.shape[1]
+        low = integers.min(axis=0)
+        self.bits = np.array([int(m).bit_length() for m in (integers.max(axis=0) - low).astype(np.uint64)], dtype=np.int64)
+        words = -(-len(ids) // 64)
+        self.slices = np.zeros((int(self.bits.sum()), words), dtype="<u8")
+        padded, at = np.zeros(64 * words, dtype=np.uint64), 0
+        for d in range(width):
+            padded[: len(ids)] = (integers[:, d] - low[d]).astype(np.uint64)
+            for b in range(int(self.bits[d])):
+                self.slices[at] = np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
+                at += 1
+        self.most = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # vectors of one id
+        self.everyone = np.zeros(64 * words, dtype=np.uint8)
+        self.everyone[: len(ids)] = 1
+
+    def search(self, query_ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+        """The best ``k`` rows of the block for each query."""
+        out: list[tuple[np.ndarray, ...]] = []
+        for query_id, query in zip(query_ids, vectors):
+            others = self.everyone.copy()
+            others[np.flatnonzero(self.ids == query_id)] = 0
+            valid = np.packbits(others, bitorder="little").view("<u8")
+            chosen = select_top(score_slices(query, self.bits, self.slices), valid, k * self.most)
+            at = np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little"))
+            scores = self.integers[at] @ query  # exact, for the chosen rows and the boundary only
+            best = np.lexsort((self.ids[at], -scores))
+            # rows with one id and several vectors: the best one of each id
+            _, first = np.unique(self.ids[at][best], return_index=True)
+            best = best[np.sort(first)][:k]
+            out.append((np.full(len(best), query_id), self.ids[at][best], scores[best]))
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _digits(value: int) -> list[tuple[int, int]]:
@@ -139,59 +142,55 @@ def select_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
     return sure | open_
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` best rows for every row in ``queries``, itself left out."""
-    rows = written(quantised(vectors, id_column, vector_column), "integers")
-    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).head()
-    index = written(build_index(rows, width, count).withColumn("block", F.monotonically_increasing_id()), "bit-slices")
-    asked = rows.where(queries)
-    groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-
-    def bundle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = _matrix(pdf["v"].tolist(), width).astype("<i8")
-        return pd.DataFrame({"part": [key[0]], "query_ids": [pdf["id"].to_numpy(dtype="<i8").tobytes()], "vectors": [values.tobytes()]})
+def rows_per_block(count: int, width: int, parallelism: int) -> int:
+    """Enough to make the most of a slice, few enough to occupy the cores twice; wide vectors make smaller blocks."""
+    rows = min(MOST_ROWS, max(BLOCK_ROWS, -(-count // (2 * parallelism))))
+    return max(64, min(rows, _CELLS // width))
 
-    bundles = asked.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(groups))).groupBy("part").applyInPandas(
-        bundle, "part bigint, query_ids binary, vectors binary"
-    )
-    tasks = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _search(row, width, k)
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` best rows for every row in ``queries``, itself left out.
 
-    pairs = written(bundles, "queries").join(tasks, "part").repartition("part", "block")
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    A block is one task, which makes the block's index and holds it while packs of all queries pass by; the shuffle carries the rows once and
+    the queries once a block.
+    """
+    rows = written(quantised(vectors, id_column, vector_column), "integers")
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).head()
+    width = max(1, width)
+    blocks = max(1, -(-count // rows_per_block(count, width, rows.sparkSession.sparkContext.defaultParallelism)))
+    whole = F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(width) - F.size("v"))).alias("v")
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block")
+    own = tiles.packed(rows.select("id", whole, block, F.lit(0).alias("part")), "<i8")
+    asked = tiles.packed(rows.where(queries).select("id", whole, F.lit(0).alias("block"), F.lit(1).alias("part")), "<i8")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    passing = own.unionByName(asked).select("block", "part", "ids", "vectors").repartitionById(blocks, F.col("block"))
+    found = passing.sortWithinPartitions("block", "part").mapInArrow(_search_function(k), "query_id bigint, vec_id bigint, score bigint")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(row: dict, width: int, k: int) -> pa.RecordBatch:
-    """The best ``k`` rows of one block for each query of one bundle."""
-    ids = np.frombuffer(row["ids"], "<i8")
-    integers = np.frombuffer(row["integers"], "<i8").reshape(len(ids), width)
-    bits = np.frombuffer(row["bits"], "<i8")
-    words = -(-len(ids) // 64)
-    slices = np.frombuffer(row["slices"], "<u8").reshape(-1, words)
-    query_ids = np.frombuffer(row["query_ids"], "<i8")
-    vectors = np.frombuffer(row["vectors"], "<i8").reshape(len(query_ids), width)
-    most = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # vectors of one id
-    everyone = np.zeros(64 * words, dtype=np.uint8)
-    everyone[: len(ids)] = 1
-    out: list[tuple[np.ndarray, ...]] = []
-    for query_id, query in zip(query_ids, vectors):
-        others = everyone.copy()
-        others[np.flatnonzero(ids == query_id)] = 0
-        valid = np.packbits(others, bitorder="little").view("<u8")
-        chosen = select_top(score_slices(query, bits, slices), valid, k * most)
-        at = np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little"))
-        scores = integers[at] @ query  # exact, for the chosen rows and the boundary only
-        best = np.lexsort((ids[at], -scores))
-        # rows with one id and several vectors: the best one of each id
-        _, first = np.unique(ids[at][best], return_index=True)
-        best = best[np.sort(first)][:k]
-        out.append((np.full(len(best), query_id), ids[at][best], scores[best]))
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+def _unpacked(ids: list[bytes], vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(ids), "<i8")
+    return flat, np.frombuffer(b"".join(vectors), "<i8").reshape(len(flat), -1)
+
+
+def _search_function(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, index, ids, vectors = None, None, [], []
+        for batch in batches:
+            blocks, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, (block, part) in enumerate(zip(blocks, parts)):
+                if block != current:
+                    current, index, ids, vectors = block, None, [], []
+                own = batch.column(2)[row].as_py(), batch.column(3)[row].as_py()
+                if part == 0:  # the rows of a block come before the queries
+                    ids.append(own[0])
+                    vectors.append(own[1])
+                    continue
+                if index is None and ids:
+                    index, ids, vectors = _Index(*_unpacked(ids, vectors)), [], []
+                if index is not None:
+                    yield index.search(*_unpacked([own[0]], [own[1]]), k)
+
+    return search

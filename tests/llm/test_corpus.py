@@ -232,6 +232,26 @@ def test_bit_sliced_top_k_equals_brute_force(spark):
         ]
 
 
+def test_bit_sliced_blocks_are_searched_as_queries_pass(spark, monkeypatch):
+    monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(bit_sliced.tiles, "_PACK_BYTES", 256)
+    rng = np.random.default_rng(2)
+    vectors = [(k, [float(x) for x in rng.normal(0, 1, 5)]) for k in range(700)]
+    vectors += [(k, vectors[5][1]) for k in range(700, 720)] + [(9, [0.5] * 5), (10, [3.0] * 5), (720, None)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = bit_sliced.top_k(df, F.col("id") % 10 == 0, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # no copy of a block for each bundle of queries
+    scores = collections.defaultdict(lambda: collections.defaultdict(list))
+    whole = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v in vectors if v is not None]
+    for q, v in whole:
+        for k, w in whole if q % 10 == 0 else ():
+            if k != q:
+                scores[q][k].append(int(v @ w))
+    want = [(q, n + 1, k, -s) for q, all_ in scores.items() for n, (s, k) in enumerate(sorted((-max(x), k) for k, x in all_.items())[:4])]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(9)
     item = words_of(rng, 40)
