@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from followgraph.operators import evaluation, lookup, model as M, overlap, similarity
+from followgraph.operators import bounds, evaluation, lookup, model as M, overlap, similarity
 from followgraph.operators.evaluation import overlap_share, top_n_error
 from followgraph.plans import training
 from followgraph.session import written
@@ -226,3 +226,14 @@ def test_followers_of_many_artists_need_no_longer_lists(spark, monkeypatch):
     known = spark.createDataFrame([(a, f, 1) for a in range(40) for f in range(6) if f == 0 or a % 6 == f], "artist_id int, follower_id int, count int")
     rows = M.recommend_unknown(M.fit(known, rank=2), known, 5).collect()
     assert asked == [5] and {r["follower_id"] for r in rows} == {1, 2, 3, 4, 5}
+
+
+def test_large_tables_are_recommended_from_clusters(spark, monkeypatch):
+    edges = [(a, f, 1) for a in range(60) for f in range(150) if (a * 7 + f * 3) % 11 < 3 or (f == 0 and a < 50)]
+    known = spark.createDataFrame(edges, "artist_id int, follower_id int, count int")
+    fitted = M.fit(known, rank=3)
+    listed = lambda df: sorted((r.follower_id, r["rank"], r.artist_id, round(r.prediction, 9)) for r in df.collect())
+    want = listed(M.recommend_artists(fitted, 4)), listed(M.recommend_unknown(fitted, known, 4))
+    monkeypatch.setattr(bounds, "LARGE", 1)
+    monkeypatch.setattr(M, "best_products", None)  # not asked
+    assert (listed(M.recommend_artists(fitted, 4)), listed(M.recommend_unknown(fitted, known, 4))) == want
