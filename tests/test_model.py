@@ -237,3 +237,15 @@ def test_large_tables_are_recommended_from_clusters(spark, monkeypatch):
     monkeypatch.setattr(bounds, "LARGE", 1)
     monkeypatch.setattr(M, "best_products", None)  # not asked
     assert (listed(M.recommend_artists(fitted, 4)), listed(M.recommend_unknown(fitted, known, 4))) == want
+
+
+def test_long_trainings_keep_one_iteration(spark, monkeypatch):
+    known = spark.createDataFrame([(a, f, 1) for a in range(30) for f in range(40) if (a + f) % 5 < 2], "artist_id int, follower_id int, count int")
+    factors = lambda fitted: sorted((r.id, tuple(r.features)) for r in fitted.itemFactors.collect())
+    blocks = {"numUserBlocks": 3, "numItemBlocks": 3}
+    want = factors(M.fit(known, **blocks))
+    asked, plain = [], M.als
+    monkeypatch.setattr(M, "als", lambda **settings: (asked.append(settings), plain(**settings))[1])
+    monkeypatch.setattr(M, "_EDGES_PER_BLOCK", 50)
+    monkeypatch.setattr(M, "_SWEEP_SECONDS", 0.05)
+    assert factors(M.fit(known, **blocks)) == want and asked[0]["checkpointInterval"] == 1
